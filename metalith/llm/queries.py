@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalith.llm import quality, url_rules
+from metalith.llm import quality, substrings, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -86,3 +86,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 @query("op9_quality_rules", OP9_SQL)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+g AS (SELECT rid, doc_id, i, array_to_string(words[i + 1 : i + 13], ' ') AS g FROM (SELECT *, unnest(range(len(words) - 12)) AS i FROM w WHERE len(words) >= 13)),
+f AS (SELECT rid, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id),
+c AS (SELECT DISTINCT rid, i + d AS at FROM f, range(13) t(d)),
+k AS (
+  SELECT w.rid, any_value(w.doc_id) AS doc_id, count(u.word) AS n_words, count(c.at) AS n_removed,
+    coalesce(string_agg(u.word, ' ' ORDER BY u.at) FILTER (WHERE c.at IS NULL), '') AS kept
+  FROM w LEFT JOIN (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS at FROM w) u ON u.rid = w.rid
+  LEFT JOIN c ON c.rid = u.rid AND c.at = u.at GROUP BY w.rid)
+SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
+@query("op4_substring_dedup", OP4_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
