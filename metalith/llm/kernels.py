@@ -115,10 +115,12 @@ class Runs:
     """Runs of windows that share their anchor, over a slice of rows.
 
     ``tokens`` are 64-bit values of the words or bytes, ``bounds`` the first token of each
-    row. A window is ``size`` tokens; its anchor is the least hash of the ``gram``-token
-    grams in it. Consecutive windows with one anchor form a run (cut at four times the
-    grams of a window), so two equal windows always lie in runs with one anchor.
-    start, length: windows of the run; row; anchor; identity: hash of all tokens of the run.
+    row. A window is ``size`` tokens; its anchor is the ``gram``-token gram in it with the
+    least hash, the leftmost of equals. Consecutive windows with the anchor in one place
+    form a run. So two equal windows lie in different runs whose anchors have equal hashes,
+    and have the anchor at the same shift.
+    start, length: windows of the run; row; place and hash of the anchor; identity: hash of
+    all tokens of the run.
     """
 
     def __init__(self, tokens: np.ndarray, second: np.ndarray | None, bounds: np.ndarray, size: int, gram: int):
@@ -129,22 +131,21 @@ class Runs:
         self.sums = sums
         counts = np.maximum(np.diff(bounds) - size + 1, 0)
         if n < size or not counts.sum():
-            self.start = self.length = self.row = np.zeros(0, np.int64)
+            self.start = self.length = self.row = self.place = np.zeros(0, np.int64)
             self.anchor = self.identity = self.key = np.zeros(0, U)
             return
         _, down = POWERS.to(n + 1)
         grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-        least = sliding_min(grams, width)
+        bits = U(max(21, n.bit_length()))
+        least = sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=U), width)
         row = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(bounds[:-1], counts)
-        low = least[at]
+        place = (least[at] & ((U(1) << bits) - U(1))).astype(np.int64)
         new = np.ones(len(at), bool)
-        new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+        new[1:] = place[1:] != place[:-1]
         head = np.flatnonzero(new)
-        inside = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-        new |= inside % (4 * width) == 0
-        head = np.flatnonzero(new)
-        self.start, self.row, self.anchor = at[head], row[head], low[head]
+        self.start, self.row, self.place = at[head], row[head], place[head]
+        self.anchor = grams[self.place]
         self.length = np.diff(np.append(head, len(at)))
         self.identity = span_hash(self.sums_2, self.start, self.start + self.length + size - 1)
         self.key = mix(self.anchor ^ mix(self.identity))

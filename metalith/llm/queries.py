@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalith.llm import quality, substrings, url_rules
+from metalith.llm import quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -105,3 +105,8 @@ SELECT doc_id, n_words, n_removed, sha256(kept) AS kept_sha256 FROM k
 @query("op4_substring_dedup", OP4_SQL)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))

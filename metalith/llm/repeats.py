@@ -267,7 +267,7 @@ def fork_out(walks: Walks, buckets: int, texts):
                         held, count = [], 0
                 send = at[what == SEND]
                 if len(send):
-                    yield from texts(r, send, buf, did[lo + r.row[send]], buckets)
+                    yield from in_parts(texts(r, send, buf, did[lo + r.row[send]], buckets))
         if count:
             yield from settle_chunk(held)
 
