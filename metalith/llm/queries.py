@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalith.llm import quality, substrings, suffix_array, url_rules
+from metalith.llm import lz_fingerprint, quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -110,3 +110,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_array_dedup")
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lz_fingerprints")
+def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
