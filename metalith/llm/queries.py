@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metalith.llm import lz_fingerprint, quality, substrings, suffix_array, url_rules
+from metalith.llm import lz_fingerprint, near_dup, quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -115,3 +115,21 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lz_fingerprints")
 def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(words[i + 1 : i + 5], ' ') FOR i IN range(greatest(len(words) - 4, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END))]) AS shingles FROM w),
+n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+u AS (SELECT doc_id, unnest(shingles) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b) SELECT * FROM r)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+
+@query("op3_near_dedup", OP3_SQL)
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group_near(table(spark, sf_dir, "documents"))
