@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metalith.llm import lz_fingerprint, near_dup, quality, substrings, suffix_array, url_rules
+from metalith.llm import line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -133,3 +134,28 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c
 @query("op3_near_dedup", OP3_SQL)
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group_near(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
+l AS (SELECT rid, doc_id, coalesce('s' || source, '') AS site, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
+  FROM (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t)),
+b AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
+k AS (
+  SELECT rid, count(*) FILTER (WHERE l.key <> '') AS n_lines, count(b.key) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.key IS NULL) AS kept
+  FROM l LEFT JOIN b ON b.key = l.key GROUP BY rid)
+SELECT t.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (rid)
+"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    cleaned = line_dedup.remove_boilerplate(docs, counts=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.copies(docs).select("doc_id", "source", "n_tokens", "copies")
