@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metalith.llm import line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array, url_rules
+from metalith.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -159,3 +159,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.copies(docs).select("doc_id", "source", "n_tokens", "copies")
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer(spark).digests(table(spark, sf_dir, "documents"))
