@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metalith.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array, url_rules
+from metalith.llm import bpe, html_main, line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array, url_rules
 from metalith.llm.shared import table
 
 QUERIES = {}
@@ -173,3 +173,8 @@ def tokenizer(spark: SparkSession) -> bpe.Tokenizer:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer(spark).digests(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
