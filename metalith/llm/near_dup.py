@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metalith.llm.kernels import BYTES_1, U, mix, prefix_sums, slices, span_hash, split_words
-from metalith.llm.shared import settle, shuffle_width
+from metalith.llm.shared import free_name, settle
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -250,3 +250,12 @@ def group_near(docs: DataFrame) -> DataFrame:
         F.when(F.col("component") != null_id, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         (F.col("did") == F.col("component")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of its least doc_id; documents without words stay.
+
+    The ids to drop meet the documents in one shuffle join."""
+    name = free_name(docs)
+    gone = group_near(docs).where(~F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone[name], "left_anti")
