@@ -38,7 +38,7 @@ from metalith.llm.kernels import Runs, U, run_windows, slices, span_hash
 from metalith.llm.shared import settle, shuffle_width
 
 HOT = 64
-CHUNK_RUNS = 2_000_000
+CHUNK_RUNS = 500_000
 FULL, SELF, SEND, SPLIT = 0, 1, 2, 3
 #: Output batches: rows of (document, key, kind).
 REPLY = "did long, key long, kind int"
