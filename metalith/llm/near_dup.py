@@ -10,12 +10,15 @@ close to the similarity of the sets, so bands of register values find similar se
    digest of the set, form a class with its least document. A group of copies, however
    large, is one class from here on: the class is a partial aggregate.
 2. Deal each class by bands of ``BAND`` registers. Per band value the least class is the centre and
-   all others form one candidate pair with it (a star, never all pairs). The joint likelihood
-   of the two register vectors estimates the similarity; each class keeps its best centre.
+   all others form one candidate pair with it (a star, never all pairs); each class keeps the centre it
+   shares most values with.
 3. Confirm candidates on full sets, exactly, and join what is linked into components.
-4. Whatever still shares a band across components is compared with all others of that band
-   value, not just the centre, until no band value holds candidates in two components
-   that haven't been compared. Classes inside a component need no comparison: a link
+4. Band values that still hold several components are torn. A shingle that no other document
+   of a torn value has can be in no common part, so with c shingles that some other has, n in all
+   and m in the other set, the similarity is at most min(c, c') / (n + m - min(c, c')). This exact bound
+   clears most torn values. In the rest the document with the least share of own
+   shingles is the next centre, and after two such rounds all pairs across components that the bound
+   and the sketches allow are confirmed. Documents inside one component need no comparison: a link
    between them changes nothing.
 
 A pair at the threshold is missed by all bands with a chance below 1e-7.
@@ -45,6 +48,7 @@ RATE = 20.0
 TOP = 2**16 - 2
 #: A pair whose estimate is below this isn't confirmed: over five standard errors under the threshold.
 ESTIMATE_FLOOR = 0.5
+STAR_ROUNDS = 2
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _SHIFTS = mix(np.arange(1, REGISTERS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 LOWER = np.arange(256, dtype=np.uint8)
@@ -182,14 +186,43 @@ def confirm(batches):
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only the sets of documents in a pair are made."""
-    wanted = pairs.select(F.col("a").alias("did")).union(pairs.select(F.col("b").alias("did"))).distinct()
-    members = settle(base.select("did", "text").join(wanted, "did", "left_semi").dropDuplicates(["did"]).mapInArrow(sets, "did long, members binary"))
+def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     joined = pairs.select("a", "b").join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
     return settle(joined.mapInArrow(confirm, "a long, b long"))
 
 
+def own_shingles(batches):
+    """Documents to (shingle, document)."""
+    for batch in batches:
+        did = batch.column("did").to_numpy()
+        parts = [np.frombuffer(x, np.int64) for x in batch.column("members").to_pylist()]
+        sizes = [len(x) for x in parts]
+        for lo in range(0, len(parts), 256):
+            yield pa.record_batch([pa.array(np.concatenate(parts[lo : lo + 256])), pa.array(np.repeat(did[lo : lo + 256], sizes[lo : lo + 256]))], names=["shingle", "did"])
+
+
+def possible(n_a, c_a, n_b, c_b):
+    """Whether two sets of these sizes, with so many shingles that others have, can be similar enough."""
+    common = F.least(c_a, c_b)
+    return 100 * common >= PERCENT * (n_a + n_b - common)
+
+
+def torn(shared: DataFrame, found: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(band, did, component[, n, c]) of the band values with several components; with sizes, of the documents that can have a partner there."""
+    labelled = shared.join(found, "did", "left").select("band", "did", F.coalesce("component", "did").alias("component"))
+
+    def several(df: DataFrame) -> DataFrame:
+        bands_ = df.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), *([F.min("n").alias("least_n")] if sizes is not None else []))
+        return df.join(bands_.where("low <> high").drop("low", "high"), "band")
+
+    if sizes is None:
+        return several(labelled)
+    sized = several(labelled.join(sizes, "did"))
+    least = F.greatest("least_n", "c")
+    return several(sized.where(100 * F.col("c") >= PERCENT * (F.col("n") + least - F.col("c"))).drop("least_n")).drop("least_n")
+
+
 def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(did, component) for every document in a link: the least id reachable.
 
@@ -213,6 +246,14 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
         mark = now
 
 
+def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
+    """(did, n, c): shingles of each of these documents, and how many of them another one has too. Shingles are counted by partial aggregation."""
+    some = members.join(dids, "did", "left_semi")
+    lone = some.mapInArrow(own_shingles, "shingle long, did long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("did").alias("did")).where("k = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
+    n = (F.length("members") / 8).cast("long")
+    return settle(some.select("did", n.alias("n")).join(lone, "did", "left").select("did", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")))
+
+
 def group_near(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -222,25 +263,29 @@ def group_near(docs: DataFrame) -> DataFrame:
     dealt = classes.mapInArrow(bands, "band long, did long")
     centres = dealt.groupBy("band").agg(F.min("did").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(dealt.join(centres, "band").select("band", "did", "centre"))
-    stars = shared.where("did <> centre").select(F.col("did").alias("a"), F.col("centre").alias("b")).distinct()
-    best = with_sketches(stars, classes).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-    links = confirmed(settle(best), base)
-    found = components(links)
-    # what still shares a band value across components: all against all of the value, but only across
-    labelled = shared.select("band", "did").join(found, "did", "left").select("band", "did", F.coalesce("component", "did").alias("component"))
-    torn = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = settle(labelled.join(torn, "band"))
-    tried = settle(best)
-    across = (
-        rest.toDF("band", "a", "ca")
-        .join(rest.toDF("band", "b", "cb"), "band")
-        .where("ca <> cb AND a > b")
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = confirmed(settle(with_sketches(across, classes)), base)
-    found = components(more, found)
+    stars = shared.where("did <> centre").groupBy(F.col("did").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    tried = settle(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
+    near = shared.select("did").distinct()
+    members = settle(base.select("did", "text").join(near.hint("shuffle_hash"), "did", "left_semi").dropDuplicates(["did"]).mapInArrow(sets, "did long, members binary"))
+    shared = shared.select("band", "did")
+    found = components(confirmed(tried, members))
+    sizes = with_sizes(torn(shared, found).select("did").distinct(), members)
+    for _ in range(STAR_ROUNDS):
+        rest = settle(torn(shared, found, sizes))
+        if rest.isEmpty():
+            break
+        centre = rest.groupBy("band").agg(F.max_by(F.struct("did", "component", "n", "c"), F.struct(F.col("c") / F.col("n"), -F.col("did"))).alias("o"))
+        rays = rest.join(centre, "band").where((F.col("component") != F.col("o.component")) & possible(F.col("n"), F.col("c"), F.col("o.n"), F.col("o.c")))
+        rays = rays.select(F.greatest("did", "o.did").alias("a"), F.least("did", "o.did").alias("b"), F.col("did").alias("x")).groupBy("x", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        rays = rays.join(tried, ["a", "b"], "left_anti").groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        rays = settle(rays)
+        tried = settle(tried.unionByName(rays))
+        found = components(confirmed(rays, members), found)
+    rest = settle(torn(shared, found, sizes))
+    x, y = rest.toDF("band", "a", "ca", "na", "xa"), rest.toDF("band", "b", "cb", "nb", "xb")
+    across = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & possible(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")))
+    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    found = components(confirmed(settle(with_sketches(across, classes)), members), found)
     labelled = classes.select("d1", "d2", "n_shingles", "did").join(found, "did", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "did").alias("component"))
     named = sketched.join(labelled, ["d1", "d2", "n_shingles"], "left").select("did", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
     null_id = F.lit(2**63 - 1)
