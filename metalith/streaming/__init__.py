@@ -1,0 +1 @@
+"""No streaming operators: the relations describe a device at rest, and snapshots of it are compared as tables."""
