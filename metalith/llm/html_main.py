@@ -47,6 +47,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: What an element's tag says.
 BAD_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
+#: Elements of which a form is no part, but the other way round.
+PAGE_PARTS = frozenset("article main nav header footer h1".split())
 #: What a word of a class, id or role says.
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
@@ -64,24 +66,38 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
 class Element:
-    __slots__ = ("tag", "hint", "skip", "parent")
+    __slots__ = ("tag", "own", "skip", "parent")
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.parent = tag, parent
         self.skip = tag in SKIPPED or parent is not None and parent.skip or bool(attributes and HIDDEN.search(attributes))
-        own = hint_of(tag, attributes, parent is not None and parent.tag in ("html", "body"))
-        above = parent.hint if parent is not None else 0
-        if tag == "header" and own < 0 and above > 0:
-            own = 0  # the header of an article holds its title
-        self.hint = own or above
+        self.own = hint_of(tag, attributes)
+        if tag == "header" and self.own < 0 and parent is not None and parent.hint > 0:
+            self.own = 0  # the header of an article holds its title
+        if tag in PAGE_PARTS or self.own > 0:
+            form = parent
+            while form is not None:
+                if form.tag == "form":
+                    form.own = 0  # a form around the parts of a page says nothing of them
+                form = form.parent
+
+    @property
+    def hint(self) -> int:
+        """Of the innermost element that says anything."""
+        e = self
+        while e is not None:
+            if e.own:
+                return e.own
+            e = e.parent
+        return 0
 
 
-def hint_of(tag: str, attributes: str, whole: bool = False) -> int:
-    """-1, 0 or 1: what an element says about the text in it. ``whole``: it stands directly in the body, where a form may hold the page."""
+def hint_of(tag: str, attributes: str) -> int:
+    """-1, 0 or 1: what an element says about the text in it."""
     if tag in ("html", "body"):
         return 0
     if tag in BAD_TAGS:
-        return 0 if tag == "form" and whole else -1
+        return -1
     good = tag in GOOD_TAGS
     bad = False
     if attributes and "=" in attributes:

@@ -30,8 +30,12 @@ from pyspark.sql.window import Window
 from metalith.llm.shared import lower_ascii, shuffle_width
 
 DEFAULT_VERDICT = "allow"
-#: Greater than any character of a key (keys are compared as UTF-8 bytes).
-LAST = "\U0010ffff"
+
+
+def key_of(path: Column, end: bool = False) -> Column:
+    """A path's sort key, its UTF-8 bytes; ``end``: the first key after all paths it is a prefix of (no UTF-8 text has the byte FF)."""
+    body = F.encode(path, "UTF-8")
+    return F.concat(body, F.unhex(F.lit("FF"))) if end else body
 
 
 def host_of(url: Column) -> Column:
@@ -68,15 +72,15 @@ def events(rules: DataFrame) -> DataFrame:
         is_open = lambda s: x["path"].startswith(s["path"])
         open_ = F.filter(acc["stack"], is_open)
         closed = F.reverse(F.filter(acc["stack"], lambda s: ~is_open(s)))
-        closing = F.transform(closed, lambda s: F.struct(F.concat(s["path"], F.lit(LAST)).alias("at"), F.filter(acc["stack"], lambda o: s["path"].startswith(o["path"]) & (o["path"] != s["path"])).alias("stack")))
+        closing = F.transform(closed, lambda s: F.struct(key_of(s["path"], end=True).alias("at"), F.filter(acc["stack"], lambda o: s["path"].startswith(o["path"]) & (o["path"] != s["path"])).alias("stack")))
         stack = F.concat(open_, F.array(x))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], closing, F.array(F.struct(x["path"].alias("at"), stack.alias("stack")))).alias("out"))
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], closing, F.array(F.struct(key_of(x["path"]).alias("at"), stack.alias("stack")))).alias("out"))
 
-    start = F.struct(F.array().cast(empty).alias("stack"), F.array().cast(f"array<struct<at:string,stack:{empty}>>").alias("out"))
+    start = F.struct(F.array().cast(empty).alias("stack"), F.array().cast(f"array<struct<at:binary,stack:{empty}>>").alias("out"))
     swept = per_host.select("suffix", F.aggregate("items", start, push).alias("acc"))
     rest = F.transform(
         F.reverse(F.col("acc.stack")),
-        lambda s: F.struct(F.concat(s["path"], F.lit(LAST)).alias("at"), F.filter(F.col("acc.stack"), lambda o: s["path"].startswith(o["path"]) & (o["path"] != s["path"])).alias("stack")),
+        lambda s: F.struct(key_of(s["path"], end=True).alias("at"), F.filter(F.col("acc.stack"), lambda o: s["path"].startswith(o["path"]) & (o["path"] != s["path"])).alias("stack")),
     )
     return swept.select("suffix", F.explode(F.concat(F.col("acc.out"), rest)).alias("e")).select("suffix", F.col("e.at").alias("at"), F.col("e.stack").alias("stack"))
 
@@ -98,7 +102,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     probes = probes.join(named, "suffix", "left_semi").select(
         "suffix",
         F.pmod(F.xxhash64("row_key", "row_url"), F.lit(salts)).cast("int").alias("salt"),
-        F.col("path").alias("at"),
+        key_of(F.col("path")).alias("at"),
         F.lit(1).alias("kind"),
         F.lit(None).cast(marks.schema["stack"].dataType).alias("stack"),
         "row_key",
