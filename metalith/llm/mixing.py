@@ -50,7 +50,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def exponent(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, budget_share: float = 1.0) -> float:
-    """The greatest t whose mix has at least the wanted share of the greatest entropy, or, if that repeats a source too often, the least t that doesn't.
+    """The t that meets the wanted share of the greatest entropy, the least t that repeats no source too often, or the greater of both; 1 without a target.
 
     ``sources`` has a row (source, tokens) each with tokens > 0."""
     total = sources.agg(F.sum("tokens"), F.count(F.lit(1))).first()
@@ -82,13 +82,13 @@ def exponent(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE, ma
             lo, hi = ts[first - 1], ts[first]
         return hi
 
-    t = 1.0
+    bounds = []
     if entropy_share is not None:
         wanted = entropy_share * math.log(n)
-        t = section(lambda entropy, _: entropy < wanted)
+        bounds.append(section(lambda entropy, _: entropy < wanted))
     if max_repeats is not None:
-        t = max(t, section(lambda _, most: most <= max_repeats))
-    return t
+        bounds.append(section(lambda _, most: most <= max_repeats))
+    return max(bounds, default=1.0)
 
 
 def plan(docs: DataFrame, budget: float | None = None, entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, seed: int = SEED) -> DataFrame:
