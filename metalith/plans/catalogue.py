@@ -147,7 +147,6 @@ query(
 
 # Paths
 
-FILE = "fid LIKE '[0x2000010%' OR fid LIKE '[0x200002%' OR fid LIKE '[0x200004a%'"
 query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.raw))
 query("fid2path_multi_link", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE ord = 1) GROUP BY fid", recursive=True)(
     lambda r: paths.fid2path(r.raw).join(r.raw.where(F.size("links") > 1).select("fid").distinct(), "fid", "left_semi")
