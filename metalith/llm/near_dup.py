@@ -17,8 +17,8 @@ close to the similarity of the sets, so bands of register values find similar se
    of a torn value has can be in no common part, so with c shingles that some other has, n in all
    and m in the other set, the similarity is at most min(c, c') / (n + m - min(c, c')). This exact bound
    clears most torn values. In the rest the document with the least share of own
-   shingles is the next centre, and after two such rounds all pairs across components that the bound
-   and the sketches allow are confirmed. Documents inside one component need no comparison: a link
+   shingles is the next centre, and after two such rounds the pairs across components are found by
+   their rarest shingles (an exact prefix filter), and those the sketches allow are confirmed. Documents inside one component need no comparison: a link
    between them changes nothing.
 
 A pair at the threshold is missed by all bands with a chance below 1e-7.
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from metalith.llm.kernels import BYTES_1, U, mix, prefix_sums, slices, span_hash, split_words
 from metalith.llm.shared import free_name, settle
@@ -246,6 +247,29 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
         mark = now
 
 
+def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that can be similar enough; ``docs`` has (did, component, n).
+
+    Each document's shingles are put in one order for all, the rarest first. The first
+    common shingle of a pair, at places i and j, leaves a common part of at most min(n - i, m - j);
+    so a pair is met at a shingle only where that bound allows it, and none is lost. Per shingle
+    the commonest component isn't paired with itself: the rows of the others meet all rows,
+    after those were left out that no row of the shingle, however small its set, can match."""
+    each = members.join(docs, "did", "left_semi").mapInArrow(own_shingles, "shingle long, did long")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    placed = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("did").orderBy("df", "shingle")) - 1)
+    left = F.col("n") - F.col("place")
+    rows = settle(placed.where("df > 1").join(docs, "did").where(100 * left >= PERCENT * F.col("n")).select("shingle", "did", "component", "n", left.alias("room")))
+    counted = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+    common = counted.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("common"), F.min("n").alias("least_n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    most = F.col("room")
+    open_ = rows.join(common, "shingle").where(100 * most >= PERCENT * (F.col("n") + F.greatest("least_n", most) - most))
+    one = open_.where(F.col("component") != F.col("common")).select("shingle", F.col("did").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("rx"))
+    all_ = open_.select("shingle", F.col("did").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("room").alias("ry"))
+    met = one.join(all_, (one["shingle"] == all_["shingle"]) & (F.col("cx") != F.col("cy")) & possible(F.col("nx"), F.col("rx"), F.col("ny"), F.col("ry")))
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
     """(did, n, c): shingles of each of these documents, and how many of them another one has too. Shingles are counted by partial aggregation."""
     some = members.join(dids, "did", "left_semi")
@@ -281,10 +305,8 @@ def group_near(docs: DataFrame) -> DataFrame:
         rays = settle(rays)
         tried = settle(tried.unionByName(rays))
         found = components(confirmed(rays, members), found)
-    rest = settle(torn(shared, found, sizes))
-    x, y = rest.toDF("band", "a", "ca", "na", "xa"), rest.toDF("band", "b", "cb", "nb", "xb")
-    across = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & possible(F.col("na"), F.col("xa"), F.col("nb"), F.col("xb")))
-    across = across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = torn(shared, found, sizes).select("did", "component", "n").distinct()
+    across = sharing_rare(settle(rest), members).join(tried, ["a", "b"], "left_anti")
     found = components(confirmed(settle(with_sketches(across, classes)), members), found)
     labelled = classes.select("d1", "d2", "n_shingles", "did").join(found, "did", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "did").alias("component"))
     named = sketched.join(labelled, ["d1", "d2", "n_shingles"], "left").select("did", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
