@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand on many sites."""
-    return with_length(line_dedup.remove_boilerplate(docs))
+    """Every document, without the lines that different texts have on many sites; whole copies are left to the next stage."""
+    return with_length(line_dedup.remove_boilerplate(docs, once=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

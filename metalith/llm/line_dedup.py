@@ -11,6 +11,12 @@ broadcast only if their number is at most ``BROADCAST_LINES``; beyond that they
 joined with the documents' lines under a salt, so that a frequent line is
 split over tasks. The text is shuffled once, to meet its document's list of lines.
 
+A whole document copied to many sites isn't boilerplate. With ``once``, as the pipeline asks, texts that differ
+in white space only count as one occurrence, that of the least doc_id, before sites are counted; so a
+line's spread is that of different texts. The lines found are removed from every document, as without it.
+Copies are found by a 128-bit digest of the text, aggregated partially; only the digests that have
+several occurrences meet the documents. The query op7 counts every row, as its SQL does.
+
 Defined cases: a null text stays null and has no lines; lines without a word are neither
 counted nor removed; white space around a line is ignored when lines are compared; a null
 site counts as one site of its own; repeated rows are treated alike; a document that
@@ -57,6 +63,19 @@ def boilerplate(docs: DataFrame, sites: int = SITES, text: str = "text", site: s
     return settle(sketched.where(F.col("n") > sites * (1 + error)).select("key").unionByName(exact.select("key")))
 
 
+def once_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+    """(text, site) of one occurrence of each text: that of its least doc_id, a null one counting as the greatest, and of its least site."""
+    whole = F.unhex(F.md5(F.translate(F.col(text), " \t\n\x0b\x0c\r", "")))
+    marked = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(site).alias("site"), whole.alias("whole"), F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(site)).alias("at"))
+    copied = settle(marked.groupBy("whole").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("whole", "first"))
+    if copied.count() <= BROADCAST_LINES:
+        joined = marked.join(F.broadcast(copied), "whole", "left")
+    else:
+        salted = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = marked.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")).join(salted, ["whole", "salt"], "left")
+    return joined.where(F.col("first").isNull() | F.col("at").eqNullSafe(F.col("first"))).select("text", "site")
+
+
 def narrowed(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``lines`` whose key is among ``keys``."""
     if keys.count() <= BROADCAST_LINES:
@@ -65,9 +84,9 @@ def narrowed(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return lines.withColumn("salt", F.pmod(F.xxhash64(*lines.columns), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left_semi").drop("salt")
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text; with ``counts`` also n_lines and n_removed."""
-    bad = boilerplate(docs, sites, text, site)
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False, once: bool = False) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of the text; with ``counts`` also n_lines and n_removed; with ``once`` copies of a text count as one."""
+    bad = boilerplate(once_each(docs, doc_id, text, site), sites, "text", "site") if once else boilerplate(docs, sites, text, site)
     did = free_name(docs, "n_lines", "n_removed", "_bad")
     keyed = docs.withColumn(did, F.xxhash64(F.col(doc_id), F.col(text)))
     lines = (

@@ -2,7 +2,10 @@
 
 import os
 
+import pytest
+
 import corpus_pipeline
+from metalith.llm import line_dedup
 from metalith.llm.shared import settle
 
 
@@ -34,3 +37,18 @@ def test_run(spark, tmp_path):
     os.makedirs(tmp_path / "sf")
     corpus(spark).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() >= 30
+
+
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_LINES, 0])
+def test_copied_text_stays_once(spark, monkeypatch, broadcast):
+    """A clean text on 12 sites isn't boilerplate; a footer of 12 different texts is, also where they were copied."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
+    clean = "\n".join(" ".join(f"c{k}x{j}" for j in range(12)) for k in range(8))
+    rows = [(i, clean + " \n" * (i % 2), "en", f"src{i}", 1) for i in range(12)] + [(None, clean, "en", None, 1)]
+    other = [" ".join(f"d{i}w{k}" for k in range(60)) for i in range(12)]
+    rows += [(100 + 20 * k + i, t + "\na footer of all", "en", f"src{i}", 1) for i, t in enumerate(other) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = settle(corpus_pipeline.lines(spark, docs, ""))
+    assert lines.count() == len(rows) and lines.where("trim(text) = ''").count() == 0
+    near = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, lines.where("doc_id IS NOT NULL"), "").collect()}
+    assert near == {0: clean} | {100 + i: t for i, t in enumerate(other)}
