@@ -29,7 +29,11 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+#: Any attribute: its name, and its value in double quotes, single quotes or none.
+ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+#: A class that shows the element again at some width or in some state.
+SHOWN = re.compile(r"\S+:(?:block|flex|grid|table|contents|flow-root|inline\S*|visible)", re.I)
 #: White space of HTML and other white space, but not the no-break space's own meaning: all become one space.
 SPACES = re.compile(r"\s+")
 WORD = re.compile(r"[A-Za-z]+")
@@ -54,7 +58,7 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
     "subscription signup login register sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar footer foot header masthead comment comments disqus "
     "reply replies share sharing social follow related recommended recommendations recommend pagination pager paging search complementary contentinfo legal copyright disclaimer tags "
-    "outbrain taboola teaser toc skip form announcement message messages warning feedback respond trending popular shoutbox hidden".split()
+    "outbrain taboola teaser toc skip form announcement message messages warning feedback respond trending popular shoutbox".split()
 )
 GOOD_WORDS = frozenset("article post story entry main body text prose articlebody maincontent content hentry".split())
 
@@ -70,7 +74,7 @@ class Element:
 
     def __init__(self, tag: str, attributes: str, parent):
         self.tag, self.parent = tag, parent
-        self.skip = tag in SKIPPED or parent is not None and parent.skip or bool(attributes and HIDDEN.search(attributes))
+        self.skip = tag in SKIPPED or parent is not None and parent.skip or hides(attributes)
         self.own = hint_of(tag, attributes)
         if tag == "header" and self.own < 0 and parent is not None and parent.hint > 0:
             self.own = 0  # the header of an article holds its title
@@ -92,6 +96,23 @@ class Element:
         return 0
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element isn't shown: it has the attribute hidden, aria-hidden of true, or a style whose display is none. Values that only name the word hide nothing."""
+    if not attributes or not MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for m in ANY_ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of equal names counts
+    if "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    display = ""
+    for declaration in values.get("style", "").lower().split(";"):
+        name, _, value = declaration.partition(":")
+        if name.strip() == "display" and ("!important" in value or "!important" not in display):
+            display = value
+    return display.replace("!important", "").strip() == "none"
+
+
 def hint_of(tag: str, attributes: str) -> int:
     """-1, 0 or 1: what an element says about the text in it."""
     if tag in ("html", "body"):
@@ -103,13 +124,19 @@ def hint_of(tag: str, attributes: str) -> int:
     if attributes and "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", LAYOUT.sub(" ", m[2] or m[3] or m[4] or "")))}
-            bad |= not words.isdisjoint(BAD_WORDS)
+            bad |= not words.isdisjoint(BAD_WORDS) or m[1].lower() == "class" and hidden_class(m[2] or m[3] or m[4] or "")
             good |= not words.isdisjoint(GOOD_WORDS)
     if bad:
         return 1 if tag in GOOD_TAGS and "comment" not in attributes.lower() else -1
     return 1 if good else 0
 
 
+def hidden_class(value: str) -> bool:
+    """Whether 'hidden' is a class of its own, which no other class takes back; overflow-hidden or hidden-print say nothing."""
+    names = value.lower().split()
+    return "hidden" in names and not any(SHOWN.fullmatch(n) for n in names)
+
+
 class Block:
     __slots__ = ("text", "element", "links", "tag")
 

@@ -51,6 +51,24 @@ def test_main_text():
     assert html_main.main_text("<p>unclosed <i>x</b></div>" * 3 + "<a href='") is not None
 
 
+STORY = "<p>The first paragraph tells at some length what happened.</p><p>The second paragraph tells, also at length, what came of it.</p>"
+TOLD = "The first paragraph tells at some length what happened.\nThe second paragraph tells, also at length, what came of it."
+SHOWN = [
+    'style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'class="hidden-print"', 'data-title="Hidden gems"', 'id="hidden-gems"', "class='story hidden-xs'", 'data-hidden="true"',
+    'style="display: none; display: block"', 'data-style="display:none"', 'title="a display:none primer"', 'class="hidden md:block"', 'style="visibility:visible; --display:none"',
+]
+UNSEEN = ["hidden", 'hidden=""', "HIDDEN='until-found'", 'class="x" hidden', 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; Display : None !important"', "style=display:none"]
+
+
+@pytest.mark.parametrize("tag", ["body", "div", "article"])
+def test_hidden_elements(tag):
+    """Only what hides an element skips it; naming the word doesn't, for the classifier neither."""
+    for attributes in SHOWN:
+        assert html_main.main_text(f"<html><{tag} {attributes}>{STORY}</{tag}></html>") == TOLD, attributes
+    for attributes in UNSEEN:
+        assert html_main.main_text(f"<html><{tag} {attributes}>{STORY}</{tag}></html>") == "", attributes
+
+
 def test_minimum_cut_is_least():
     r = random.Random(2)
     for _ in range(60):
