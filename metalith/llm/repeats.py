@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metalith.llm.kernels import Runs, U, run_windows, slices, span_hash
+from metalith.llm.kernels import Runs, U, mix, run_windows, slices, span_hash
 from metalith.llm.shared import settle, shuffle_width
 
 HOT = 64
@@ -53,7 +53,7 @@ class Walks:
     gram: int
     #: bytes and row offsets to (tokens, second values or None, first token per row)
     tokens: Callable
-    #: a later start in the same document counts as a repeat
+    #: a later start in the same text counts as a repeat
     within: bool
     #: sort forks of cold anchors as text
     as_text: bool
@@ -174,9 +174,17 @@ def announce(walks: Walks, buckets: int):
     return run
 
 
-def mix_key(anchor, identity):
-    from metalith.llm.kernels import mix
+def texts_of(r: Runs) -> np.ndarray:
+    """Per run the hash of its row's text: rows that share an id are told apart by it, and equal rows are one."""
+    return span_hash(r.sums_2, r.bounds[:-1], r.bounds[1:])[r.row]
+
+
+def own_key(key: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Key of a run for flags that hold in one text only, not in all rows of its id."""
+    return mix(key ^ mix(text))
+
 
+def mix_key(anchor, identity):
     return mix(anchor ^ mix(identity))
 
 
@@ -231,19 +239,28 @@ def fork_out(walks: Walks, buckets: int, texts):
     """Documents with requests to mail: the edges of runs to split, the text of runs to send."""
 
     def settle_chunk(parts):
-        h1, h2, did, start, key, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, did, h2, h1))
-        h1, h2, did, start, key, at = (x[order] for x in (h1, h2, did, start, key, at))
+        h1, h2, did, text, start, key, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, text, did, h2, h1))
+        h1, h2, did, text, start, key, at = (x[order] for x in (h1, h2, did, text, start, key, at))
         first = heads(h1, h2)
         least = did[np.maximum.accumulate(np.where(first, np.arange(len(did)), 0))]
         known = did > least
+        passed = [(did[known], key[known], at[known])]
         if walks.within:
-            known |= ~first
-        d, k, a = did[known], key[known], at[known]
+            # a text is never in two chunks, so its own repeats are all found here
+            again = start > start[np.maximum.accumulate(np.where(heads(h1, h2, did, text), np.arange(len(did)), 0))]
+            passed.append((did[again], own_key(key[again], text[again]), at[again]))
+            known |= again
+        d, k, a = (np.concatenate(x) for x in zip(*passed))
         if len(d):
             yield from in_parts(by_bucket((k % U(buckets)).astype(np.int32), PASSED, d, k, a))
         rest = ~known
         h1, h2, did, start, key, at = (x[rest] for x in (h1, h2, did, start, key, at))
+        if walks.within and not heads(h1, h2, did).all():
+            # rows of one id ask the same of a window at one place of a run
+            order = np.lexsort((at, key, did, h2, h1))
+            order = order[heads(*(x[order] for x in (h1, h2, did, key, at)))]
+            h1, h2, did, start, key, at = (x[order] for x in (h1, h2, did, start, key, at))
         yield from in_parts(by_bucket((h1 % U(buckets)).astype(np.int32), EDGES, h1, h2, did, start, key, at))
 
     def run(batches):
@@ -260,7 +277,7 @@ def fork_out(walks: Walks, buckets: int, texts):
                 if len(no):
                     of = split[no]
                     end = token + walks.size
-                    held.append((span_hash(r.sums, token, end), span_hash(r.sums_2, token, end), did[lo + r.row[of]], (token - r.start_of_row(of)).astype(np.int64), r.key[of], offset.astype(np.int32)))
+                    held.append((span_hash(r.sums, token, end), span_hash(r.sums_2, token, end), did[lo + r.row[of]], texts_of(r)[of] if walks.within else np.zeros(len(of), U), (token - r.start_of_row(of)).astype(np.int64), r.key[of], offset.astype(np.int32)))
                     count += len(no)
                     if count > CHUNK_RUNS:
                         yield from settle_chunk(held)
@@ -274,13 +291,14 @@ def fork_out(walks: Walks, buckets: int, texts):
     return run
 
 
-def match(r: Runs, row: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first run of each row with each asked key, and the value asked with it."""
+def match(r: Runs, row: np.ndarray, key: np.ndarray, value: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first run of each row with each asked key, and the value asked with it; ``keys`` in place of the runs' own."""
+    keys = r.key if keys is None else keys
     if not len(row) or not len(r.row):
         return np.zeros(0, np.int64), value[:0]
-    order = np.lexsort((np.arange(len(r.row)), r.key, r.row))
-    first = order[heads(r.row[order], r.key[order])]
-    both = np.concatenate([r.row[first], row]), np.concatenate([r.key[first], key])
+    order = np.lexsort((np.arange(len(r.row)), keys, r.row))
+    first = order[heads(r.row[order], keys[order])]
+    both = np.concatenate([r.row[first], row]), np.concatenate([keys[first], key])
     o = np.lexsort((np.arange(len(both[0])), both[1], both[0]))
     new = heads(both[0][o], both[1][o])
     lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
@@ -302,8 +320,6 @@ def resolve(walks: Walks, sort_texts):
             h1, h2, did, key, at = (x[order] for x in (h1, h2, did, key, at))
             first = heads(h1, h2)
             known = did > did[np.maximum.accumulate(np.where(first, np.arange(len(did)), 0))]
-            if walks.within:
-                known |= ~first
             out.append(flags(did[known], key[known], at[known]))
         sent = [p for p, x in zip(payload, kinds) if x == TEXTS]
         if sent:
@@ -326,6 +342,8 @@ def window_flags(r: Runs, n: int, row: np.ndarray, key: np.ndarray, at: np.ndarr
     first = np.empty(len(order), np.int64)
     first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     hit, what = match(r, row, key, at)
+    if within:
+        hit, what = (np.concatenate(x) for x in zip((hit, what), match(r, row, key, at, own_key(r.key, texts_of(r)))))
     whole = np.zeros(len(r.row), bool)
     whole[hit[what == -1]] = True
     single = what >= 0

@@ -18,8 +18,8 @@ those are sorted, one group of anchors at a time:
 Scratch memory is that of one bucket and the ranks, not of 13 words a suffix.
 
 Defined cases: a null text is empty; fewer than 100 bytes lose nothing; a null doc_id
-counts as the greatest; of rows that share a doc_id and a text, neither removes the other's
-bytes; texts are read whole; columns other than doc_id and text are not read.
+counts as the greatest; rows that share a doc_id, or have none, don't remove each other's
+bytes, whether their texts are equal or not; texts are read whole; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -135,33 +135,41 @@ def equal_windows(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.nda
 
 
 def send_texts(r: Runs, send: np.ndarray, buf: np.ndarray, did: np.ndarray, buckets: int):
-    """Runs as blobs of (document, start, key, shift of the anchor, length) and text."""
+    """Runs as blobs of (document, start, key, hash of the whole text, shift of the anchor, length) and text."""
     bucket = (r.anchor[send] % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     send, did, bucket = send[order], did[order], bucket[order]
     shift = r.place[send] - r.start[send]
     length = r.length[send] + WINDOW_BYTES - 1
     start = r.start[send] - r.start_of_row(send)
+    whole = repeats.texts_of(r)[send]
     cut = np.append(np.flatnonzero(repeats.heads(bucket)), len(bucket))
     for lo, hi in zip(cut[:-1], cut[1:]):
         body = b"".join(buf[s : s + n].tobytes() for s, n in zip(r.start[send[lo:hi]], length[lo:hi]))
-        head = repeats.pack(np.array([hi - lo]), did[lo:hi], start[lo:hi], r.key[send[lo:hi]], shift[lo:hi], length[lo:hi])
+        head = repeats.pack(np.array([hi - lo]), did[lo:hi], start[lo:hi], r.key[send[lo:hi]], whole[lo:hi], shift[lo:hi], length[lo:hi])
         yield int(bucket[lo]), repeats.TEXTS, head + body
 
 
 def read_texts(blobs) -> tuple[np.ndarray, ...]:
-    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
-        for i in range(5):
-            columns[i].append(np.frombuffer(blob, U if i == 2 else np.int64, n, 8 + 8 * n * i))
-        columns[5].append(np.frombuffer(blob, np.uint8, -1, 8 + 40 * n))
-    return tuple(np.concatenate(c) for c in columns)
+        for i in range(6):
+            columns[i].append(np.frombuffer(blob, U if i in (2, 3) else np.int64, n, 8 + 8 * n * i))
+        columns[6].append(np.frombuffer(blob, np.uint8, -1, 8 + 48 * n))
+    did, start, key, whole, shift, length, body = (np.concatenate(c) for c in columns)
+    # equal rows of one document send the same occurrence
+    order = np.lexsort((key, start, whole, did))
+    once = np.zeros(len(order), bool)
+    once[order[repeats.heads(did[order], whole[order], start[order], key[order])]] = True
+    if not once.all():
+        body = body[np.repeat(once, length)]
+    return *(x[once] for x in (did, start, key, whole, shift, length)), body
 
 
 def sort_texts(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flags (document, key, offset) for windows of these texts that also start earlier in them."""
-    did, start, key, shift, length, body = read_texts(blobs)
+    """Flags (document, key, offset) for windows of these texts that also start in a lesser document, and, under the text's own key, earlier in the same text."""
+    did, start, key, whole, shift, length, body = read_texts(blobs)
     room = (length + 2 * PERIOD - 1) // PERIOD * PERIOD
     base = np.cumsum(room) - room + (-shift) % PERIOD
     text = np.full(int(room.sum()) + 10 * PERIOD, PAD, np.uint8)
@@ -172,7 +180,7 @@ def sort_texts(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     window = np.full(len(text), -1, np.int64)
     window[at] = np.arange(len(at))
     cut = np.searchsorted(text[at][order], np.arange(257))
-    found = []
+    found, own = [], []
     for lo, hi in zip(cut[:-1], cut[1:]):
         if hi - lo > 1:
             sorted_at, group = sort_bucket(text, ranks, at[order[lo:hi]])
@@ -180,10 +188,15 @@ def sort_texts(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if same.any():
                 of = np.cumsum(~same)
                 w = window[sorted_at]
-                by = np.lexsort((start[run[w]] + offset[w], did[run[w]], of))
-                found.append(w[by][~repeats.heads(of[by])])
-    w = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return did[run[w]], key[run[w]], offset[w].astype(np.int32)
+                by = np.lexsort((start[run[w]] + offset[w], whole[run[w]], did[run[w]], of))
+                w, of = w[by], of[by]
+                d = did[run[w]]
+                later = d > d[np.maximum.accumulate(np.where(repeats.heads(of), np.arange(len(w)), 0))]
+                found.append(w[later])
+                own.append(w[~later & ~repeats.heads(of, d, whole[run[w]])])
+    w, o = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, own))
+    both = np.concatenate([w, o])
+    return did[run[both]], np.concatenate([key[run[w]], repeats.own_key(key[run[o]], whole[run[o]])]), offset[both].astype(np.int32)
 
 
 def byte_tokens(buf: np.ndarray, offsets: np.ndarray):

@@ -155,6 +155,70 @@ def test_hot_anchors_are_exact(documents, monkeypatch, limit):
     assert df.count() == 80
 
 
+def plain_bytes_of_rows(rows, window=100):
+    """A row loses what starts earlier in it or in a row of a lesser id; no id is the greatest."""
+    windows = [{t[i : i + window] for i in range(len(t) - window + 1)} for _, t in rows]
+    out = []
+    for d, t in rows:
+        gone = set().union(*(w for w, (e, _) in zip(windows, rows) if e is not None and (d is None or e < d)))
+        drop, seen = bytearray(len(t)), set()
+        for i in range(len(t) - window + 1):
+            k = t[i : i + window]
+            if k in gone or k in seen:
+                drop[i : i + window] = b"\1" * window
+            seen.add(k)
+        out.append((d, len(t), sum(drop), len(re.findall(b"\1+", bytes(drop))), sha("".join(x for x, y in zip(t, drop) if not y))))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 64])
+def test_rows_of_one_id_leave_each_other_alone(limit, monkeypatch):
+    """Two equal rows and a document that shares half of them; rows without an id that share a passage at other places; a text that repeats itself beside one that doesn't."""
+    from metalith.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", limit)
+    r = random.Random(21)
+    a, b, c, d, e, f = ("".join(r.choice("abcdefghij ") for _ in range(400)) for _ in range(6))
+    rows = [(1, a), (1, a), (2, "x" * 30 + a[100:300] + b[:50]), (5, c[:200] + d), (None, b), (None, b), (None, e[:77] + c[150:] + d[:130]), (None, f[:31] + e[:77] + c[150:] + f[40:90])]
+    rows += [(9, e + f[:150] + a[:33] + e[90:260] + f[:20]), (9, f[:150] + a[:33] + e[90:260] + f[:20]), (9, e)]
+    assert sorted(map(str, own_run(rows))) == sorted(map(str, plain_bytes_of_rows(rows)))
+
+
+def own_run(rows):
+    """The steps of op8 in this process, so that settings hold in them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from metalith.llm import repeats
+
+    last = 2**63 - 1
+    dids = [last if d is None else d for d, _ in rows]
+    text = pa.array([t for _, t in rows])
+    walks = suffix_array.WALKS
+
+    def groups(batches):
+        t = pa.Table.from_batches(list(batches), schema=repeats.MAIL_ARROW)
+        b = t.column("bucket").to_numpy()
+        return [t.filter(pa.array(b == x)) for x in np.unique(b)]
+
+    batch = pa.record_batch([pa.array(dids), text], names=["did", "text"])
+    first = [r for g in groups(repeats.announce(walks, 4)(iter([batch]))) for r in repeats.compact(walks)(g).to_pylist()]
+    asked, found = collections.defaultdict(list), collections.defaultdict(list)
+    for x in first:
+        if x["kind"] >= repeats.SEND:
+            asked[x["did"]].append({"key": x["key"], "kind": x["kind"]})
+        else:
+            found[x["did"]].append({"key": x["key"], "at": -1 - x["kind"]})
+    wanted = pa.record_batch([batch.column(0), text, pa.array([asked[d] for d in dids], pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32())])))], names=["did", "text", "asked"])
+    for g in groups(repeats.fork_out(walks, 4, suffix_array.send_texts)(iter([wanted]))):
+        for x in repeats.resolve(walks, suffix_array.sort_texts)(g).to_pylist():
+            found[x["did"]].append({"key": x["key"], "at": x["at"]})
+    flag = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+    ids = pa.array([d for d, _ in rows], pa.int64())
+    done = pa.record_batch([batch.column(0), ids, text, pa.array([found[d] for d in dids], flag)], names=["did", "doc_id", "text", "found"])
+    return [tuple(r.values()) for b in repeats.finish(walks, suffix_array.report, suffix_array.ARROW)(iter([done])) for r in b.to_pylist()]
+
+
 def test_difference_cover_and_order():
     import numpy as np
 
