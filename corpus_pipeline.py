@@ -16,8 +16,8 @@ from metalith.llm.shared import settle, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the production policy."""
-    return quality.keep_good(docs)
+    """The documents that pass the production policy, however long they are."""
+    return quality.keep_good(docs, ("web", 2))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,8 @@ BIT = {r.name: r.bit for r in RULES}
 POLICIES = {
     ("base", 1): ("few_words", "repeated_windows"),
     ("web", 1): ("few_words", "repeated_windows", "too_many_words", "short_mean_word", "long_mean_word", "symbols", "duplicate_lines"),
+    #: Length alone rejects nothing; too_many_words stays in the ledger. op9 reports version 1, as its SQL does.
+    ("web", 2): ("few_words", "repeated_windows", "short_mean_word", "long_mean_word", "symbols", "duplicate_lines"),
 }
 DEFAULT_POLICY = ("web", 1)
 

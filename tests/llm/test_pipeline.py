@@ -52,3 +52,8 @@ def test_copied_text_stays_once(spark, monkeypatch, broadcast):
     assert lines.count() == len(rows) and lines.where("trim(text) = ''").count() == 0
     near = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, lines.where("doc_id IS NOT NULL"), "").collect()}
     assert near == {0: clean} | {100 + i: t for i, t in enumerate(other)}
+
+
+def test_long_document_passes_the_quality_rules(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long").selectExpr("doc_id", "CASE doc_id WHEN 1 THEN array_join(transform(sequence(1, 1000001), x -> concat('w', x)), ' ') ELSE 'too short' END AS text")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").select("doc_id").collect()] == [1]
