@@ -20,13 +20,19 @@ from metalith.operators.dirstripe import shard_parent
 ROUNDS = 12
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A folder of our own, where the session names none: in local mode only, since other machines wouldn't see it."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="metalith-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write to the folder all executors share (one of our own only where it is unset) and read back."""
+    """Write to the folder all executors share, ``spark.checkpoint.dir``, and read back."""
     spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="metalith-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark)
     path = f"{folder}/metalith-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -45,9 +51,9 @@ def directory_edges(raw: DataFrame) -> DataFrame:
     return edges.groupBy("fid").agg(F.min_by(F.struct("parent_fid", "step"), "ord").alias("e")).select("fid", "e.parent_fid", "e.step")
 
 
-def directory_paths(raw: DataFrame) -> DataFrame:
-    """(fid, path) of every directory below the root, and of the root, whose path is empty."""
-    state = settle(directory_edges(raw).select("fid", F.col("parent_fid").alias("up"), F.col("step").alias("path")))
+def climbed(edges: DataFrame) -> DataFrame:
+    """(fid, path) of what reaches the root over edges (fid, up, path), and of the root, whose path is empty."""
+    state = settle(edges)
     for _ in range(ROUNDS):
         pending = state.where(F.col("up") != ROOT)
         if pending.isEmpty():
@@ -55,43 +61,54 @@ def directory_paths(raw: DataFrame) -> DataFrame:
         above = state.select(F.col("fid").alias("up"), F.col("up").alias("higher"), F.col("path").alias("before"))
         moved = pending.join(above, "up").select("fid", F.col("higher").alias("up"), F.concat("before", "path").alias("path"))
         state = settle(state.where(F.col("up") == ROOT).unionByName(moved))
-    root = raw.sparkSession.range(1).select(F.lit(ROOT).alias("fid"), F.lit("").alias("path"))
+    root = edges.sparkSession.range(1).select(F.lit(ROOT).alias("fid"), F.lit("").alias("path"))
     return state.where(F.col("up") == ROOT).select("fid", "path").unionByName(root)
 
 
+def directory_paths(raw: DataFrame) -> DataFrame:
+    """(fid, path) of every directory below the root, and of the root, whose path is empty."""
+    return climbed(directory_edges(raw).select("fid", F.col("parent_fid").alias("up"), F.col("step").alias("path")))
+
+
 def fid2path(raw: DataFrame, fids: DataFrame | None = None) -> DataFrame:
     """(fid, paths): the paths of each inode in the order of its links; links that lead nowhere are left out, and an inode without any path has no row.
 
+    A shard of a striped directory has one path, that of the directory; its own name isn't shown.
     With ``fids`` (column fid), one row for each of them, with null where nothing resolves."""
     base = raw.where(F.col("fid").isNotNull())
     if fids is not None:
         base = base.join(fids.select("fid").distinct(), "fid", "left_semi")
     one = base.groupBy("fid").agg(F.min_by(F.struct("links", "lmv"), "ord").alias("i"))
-    each = one.select("fid", F.posexplode("i.links").alias("at", "l")).select("fid", "at", "l.parent_fid", "l.name")
-    found = each.join(directory_paths(raw).toDF("parent_fid", "above"), "parent_fid").select("fid", "at", F.concat("above", F.lit("/"), "name").alias("path"))
+    slave = F.coalesce(F.col("i.lmv.role") == "slave", F.lit(False))
+    master = shard_parent(F.col("fid"), F.col("i.links"), F.col("i.lmv.mdt_index"))
+    ups = F.when(slave, F.array(F.struct(master.alias("parent_fid"), F.lit("").alias("name")))).otherwise(F.col("i.links"))
+    each = one.select("fid", F.posexplode(ups).alias("at", "l")).select("fid", "at", "l.parent_fid", "l.name")
+    named = F.when(F.col("name") != "", F.concat("above", F.lit("/"), "name")).when(F.col("above") != "", F.col("above")).otherwise("/")
+    found = each.join(directory_paths(raw).toDF("parent_fid", "above"), "parent_fid").select("fid", "at", named.alias("path"))
     paths = found.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("p")).select("fid", F.transform("p", lambda x: x["path"]).alias("paths"))
     return paths if fids is None else fids.join(paths, "fid", "left")
 
 
-def path2fid(paths: DataFrame, dirents: DataFrame, through_shards: bool = False) -> DataFrame:
+def path2fid(paths: DataFrame, dirents: DataFrame) -> DataFrame:
     """``paths`` (column path) with the fid each leads to, or null.
 
-    Names are looked up level by level, by one join a level for all paths together; empty names are
-    dropped, and the empty path is the root. ``dirents`` has (parent_fid, name, fid). An
-    entry that lives in a shard isn't found from its directory, unless ``through_shards``
-    (then ``dirents`` must name the logical directory as parent)."""
+    ``dirents`` has (parent_fid, name, fid, device[, ord]) and is read once: only entries whose name some
+    path asks for are kept. Directories among them get their paths from the root by pointer doubling, and
+    each asked path meets the entries in one join on (path of the directory, name). Empty names are dropped, and the
+    empty path is the root. An entry that lives in a shard isn't found from its directory: for
+    that, pass ``logical_dirents``. Of entries with one parent and name the first device's counts; one without an identifier leads nowhere."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    state = paths.select("path").distinct().where(F.col("path").isNotNull()).select("path", parts.alias("parts"), F.lit(ROOT).alias("fid"))
-    depth = state.agg(F.max(F.size("parts"))).first()[0] or 0
-    names = dirents.select(F.col("parent_fid").alias("fid"), "name", F.col("fid").alias("child")).dropDuplicates(["fid", "name"])
-    for level in range(depth):
-        here = F.get("parts", F.lit(level))
-        going = state.where(F.size("parts") > level).select("path", "parts", "fid", here.alias("name"))
-        moved = going.join(names, ["fid", "name"]).select("path", "parts", F.col("child").alias("fid"))
-        state = state.where(F.size("parts") <= level).unionByName(moved)
-        if level % 8 == 7:
-            state = settle(state)
-    return paths.join(state.select("path", "fid"), "path", "left")
+    asked = paths.select("path").distinct().where(F.col("path").isNotNull()).select("path", parts.alias("parts"))
+    wanted = asked.select(F.explode("parts").alias("name")).distinct()
+    first = "ord" if "ord" in dirents.columns else "device" if "device" in dirents.columns else "fid"
+    entries = dirents.join(wanted, "name", "left_semi").groupBy("parent_fid", "name").agg(F.min(F.struct(F.col(first).alias("o"), "fid"))["fid"].alias("fid")).where(F.col("fid").isNotNull())
+    entries = settle(entries)
+    inner = entries.join(entries.select(F.col("parent_fid").alias("fid")).distinct(), "fid", "left_semi").select("fid", F.col("parent_fid").alias("up"), F.concat(F.lit("/"), "name").alias("path"))
+    children = entries.join(climbed(inner).select(F.col("fid").alias("parent_fid"), F.col("path").alias("above")), "parent_fid").select("above", "name", F.col("fid").alias("found"))
+    size = F.size("parts")
+    last = asked.select("path", size.alias("n"), F.array_join(F.transform(F.slice("parts", 1, F.greatest(size - 1, F.lit(0))), lambda x: F.concat(F.lit("/"), x)), "").alias("above"), F.get("parts", size - 1).alias("name"))
+    resolved = last.join(children, ["above", "name"], "left").groupBy("path").agg(F.min(F.when(F.col("n") == 0, F.lit(ROOT)).otherwise(F.col("found"))).alias("fid"))
+    return paths.join(resolved, "path", "left")
 
 
 def logical_dirents(dirents: DataFrame, dirstripe: DataFrame) -> DataFrame:

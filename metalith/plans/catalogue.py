@@ -149,10 +149,10 @@ query(
 
 query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.raw))
 query("fid2path_multi_link", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE ord = 1) GROUP BY fid", recursive=True)(
-    lambda r: paths.fid2path(r.raw).join(r.raw.where(F.size("links") > 1).select("fid").distinct(), "fid", "left_semi")
+    lambda r: paths.fid2path(r.raw, r.raw.where((F.size("links") > 1) & F.col("fid").isNotNull()).select("fid").distinct()).where("paths IS NOT NULL")
 )
 query("fid2path_through_shard", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE parent_fid LIKE '[0x200000405:%') GROUP BY fid", recursive=True)(
-    lambda r: paths.fid2path(r.raw).join(r.links.where("parent_fid LIKE '[0x200000405:%'").select("fid").distinct(), "fid", "left_semi")
+    lambda r: paths.fid2path(r.raw, r.links.where("parent_fid LIKE '[0x200000405:%'").select("fid").distinct()).where("paths IS NOT NULL")
 )
 query("fid2path_unresolvable", "SELECT DISTINCT fid FROM all_links WHERE fid IS NOT NULL AND fid NOT IN (SELECT fid FROM found)", recursive=True)(
     lambda r: r.links.select("fid").distinct().join(paths.fid2path(r.raw), "fid", "left_anti")
@@ -174,11 +174,11 @@ query("directory_paths", "SELECT fid, path FROM dirpath", recursive=True)(lambda
 
 def recursive_subtree(r: Relations) -> DataFrame:
     edges = paths.directory_edges(r.raw).select("fid", "parent_fid")
-    edges.createOrReplaceTempView("metalith_edges")
     return r.spark.sql(
         """WITH RECURSIVE tree(fid, lvl) MAX RECURSION LEVEL 4096 AS (
-             SELECT CAST('[0x200000402:0x5:0x0]' AS STRING), 0 UNION ALL SELECT e.fid, t.lvl + 1 FROM tree t JOIN metalith_edges e ON e.parent_fid = t.fid)
-           SELECT fid, lvl FROM tree"""
+             SELECT CAST('[0x200000402:0x5:0x0]' AS STRING), 0 UNION ALL SELECT e.fid, t.lvl + 1 FROM tree t JOIN {edges} e ON e.parent_fid = t.fid)
+           SELECT fid, lvl FROM tree""",
+        edges=edges,
     )
 
 

@@ -172,5 +172,8 @@ PATHS_SQL = """
 dirpath(fid, path, lvl) AS (
   SELECT '[0x200000007:0x1:0x0]', '', 0
   UNION ALL SELECT e.fid, p.path || e.seg, p.lvl + 1 FROM dirpath p JOIN edges e ON e.parent_fid = p.fid WHERE p.lvl < 64),
-found AS (SELECT l.fid, l.ord, p.path || '/' || l.name AS path FROM all_links l JOIN dirpath p ON l.parent_fid = p.fid WHERE l.fid IS NOT NULL)
+shards AS (SELECT shard_fid AS fid FROM sd WHERE i % 2 = 0 UNION ALL SELECT fid FROM od WHERE role = 'slave'),
+found AS (
+  SELECT l.fid, l.ord, p.path || '/' || l.name AS path FROM all_links l JOIN dirpath p ON l.parent_fid = p.fid WHERE l.fid IS NOT NULL AND l.fid NOT IN (SELECT fid FROM shards)
+  UNION ALL SELECT l.fid, l.ord, CASE WHEN p.path = '' THEN '/' ELSE p.path END FROM all_links l JOIN dirpath p ON l.parent_fid = p.fid JOIN shards s ON s.fid = l.fid)
 """
