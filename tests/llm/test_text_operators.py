@@ -393,6 +393,57 @@ def test_bpe_matches_the_library(spark, documents, vocabulary):
     assert back == {d: t or "" for d, t in rows}
 
 
+def test_bpe_of_long_words_matches_the_library(vocabulary):
+    """Words of many segments: random, periodic, of many-byte characters; a long piece and many long words."""
+    import base64
+
+    import pyarrow as pa
+    import tiktoken
+
+    path, pattern = vocabulary
+    with open(path, "rb") as f:
+        body = f.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, body.splitlines())}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Coder(body, pattern)
+    r = random.Random(31)
+    texts = ["".join(r.choice("etaoinshr") for _ in range(n)) for n in (63, 64, 65, 128, 129, 5000, 60000)]
+    texts += [c * n for c in ("a", "abc", "the", "é", "日本") for n in (65, 1000, 7001)]
+    texts += [" ".join("".join(r.choice("etaoinshr") for _ in range(240)) for _ in range(500)), " " * 999 + "\n" * 999, "".join(r.choice("é日🎉ab") for _ in range(3000))]
+    ids = coder.encode(pa.array(texts))
+    for text, got in zip(texts, ids):
+        want = own.encode_ordinary(text)
+        assert got == struct.pack(f"<{len(want)}I", *want), text[:40]
+    assert [x.decode() for x in coder.decode(ids)] == texts
+
+
+def test_bpe_edges(spark, documents, vocabulary, monkeypatch):
+    """No rows, repeated rows, columns that clash, ids that are null or unknown, ids decoded in parts."""
+    import pyarrow as pa
+
+    tokenizer = bpe.Tokenizer(spark, *vocabulary)
+    rows = [(1, "same text"), (1, "same text"), (None, None), (2, "")]
+    crowded = documents(rows).selectExpr("*", "7 AS n_tokens", "'x' AS IDS", "8 AS word", "9 AS pos")
+    assert tokenizer.digests(documents([])).count() == tokenizer.encode(documents([])).count() == 0
+    encoded = tokenizer.encode(crowded, decoded="text")
+    assert encoded.columns == ["doc_id", "source", "word", "pos", "n_tokens", "ids", "text"]
+    got = sorted(tuple(x) for x in encoded.select(F.coalesce("doc_id", F.lit(-1)), "n_tokens", "text", "word").collect())
+    assert got == [(-1, 0, "", 8), (1, 3, "same text", 8), (1, 3, "same text", 8), (2, 0, "", 8)]
+    assert len({(x["ids_sha256"], x["decoded_sha256"]) for x in tokenizer.digests(crowded).where("doc_id = 1").collect()}) == 1
+    tokens = spark.createDataFrame([(1, None), (2, []), (3, encoded.where("doc_id = 1").first()["ids"])], "doc_id long, ids array<int>")
+    assert [bytes(x["text"]) for x in tokenizer.decode(tokens).orderBy("doc_id").collect()] == [b"", b"", b"same text"]
+    with open(vocabulary[0], "rb") as f:
+        coder = bpe.Coder(f.read(), vocabulary[1])
+    known = encoded.where("doc_id = 1").first()["ids"][0]
+    for bad in ([known, 2**31 - 1], [2**31 - 1], [known, None]):
+        with pytest.raises(ValueError):
+            coder.decode(bpe.packed([bad]))
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 3)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    texts = [t or "" for _, t in some_docs(13, 10)]
+    assert [x.decode() for x in coder.decode(coder.encode(pa.array(texts)))] == texts
+
+
 EMPTY = [
     lambda d: substrings.remove_repeats(d),
     lambda d: suffix_array.remove_repeats(d),
