@@ -27,6 +27,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from metalith.llm.shared import lean
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Any attribute: its name, and its value in double quotes, single quotes or none.
@@ -284,4 +286,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     narrow = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
-    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return narrow.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metalith.llm.kernels import BYTES_1, U, mix, prefix_sums, span_hash
-from metalith.llm.shared import shuffle_width
+from metalith.llm.shared import lean, shuffle_width
 
 SLOTS = 64
 _FACTORS = mix(np.arange(1, SLOTS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -207,7 +207,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["bucket", "top"])
 
     # a row per range: bounded by the number of ranges
-    ranges = ids.mapInArrow(tops, "bucket int, top long").groupBy("bucket").agg(F.max("top").alias("top")).orderBy("bucket").collect()
+    ranges = ids.mapInArrow(lean(tops), "bucket int, top long").groupBy("bucket").agg(F.max("top").alias("top")).orderBy("bucket").collect()
     firsts = {r["top"]: ranges[i - 1]["bucket"] for i, r in enumerate(ranges)}
-    dealt = base.mapInArrow(deal(edges, firsts), DEALT).repartition(width, "bucket").sortWithinPartitions("bucket", "last", F.col("did").desc(), "body")
-    return dealt.mapInArrow(stream, DDL)
+    dealt = base.mapInArrow(lean(deal(edges, firsts)), DEALT).repartition(width, "bucket").sortWithinPartitions("bucket", "last", F.col("did").desc(), "body")
+    return dealt.mapInArrow(lean(stream), DDL)

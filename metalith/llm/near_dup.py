@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from metalith.llm.kernels import BYTES_1, U, mix, prefix_sums, slices, span_hash, split_words
-from metalith.llm.shared import free_name, settle
+from metalith.llm.shared import free_name, lean, settle
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -162,7 +162,7 @@ def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     left = classes.select(F.col("did").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = classes.select(F.col("did").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     sized = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return pairs.join(left, "a").join(right, "b").where(sized).mapInArrow(likely, "a long, b long, est double")
+    return pairs.join(left, "a").join(right, "b").where(sized).mapInArrow(lean(likely), "a long, b long, est double")
 
 
 def sets(batches):
@@ -190,7 +190,7 @@ def confirm(batches):
 def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     joined = pairs.select("a", "b").join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
-    return settle(joined.mapInArrow(confirm, "a long, b long"))
+    return settle(joined.mapInArrow(lean(confirm), "a long, b long"))
 
 
 def own_shingles(batches):
@@ -255,7 +255,7 @@ def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
     so a pair is met at a shingle only where that bound allows it, and none is lost. Per shingle
     the commonest component isn't paired with itself: the rows of the others meet all rows,
     after those were left out that no row of the shingle, however small its set, can match."""
-    each = members.join(docs, "did", "left_semi").mapInArrow(own_shingles, "shingle long, did long")
+    each = members.join(docs, "did", "left_semi").mapInArrow(lean(own_shingles), "shingle long, did long")
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     placed = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("did").orderBy("df", "shingle")) - 1)
     left = F.col("n") - F.col("place")
@@ -273,7 +273,7 @@ def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
 def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
     """(did, n, c): shingles of each of these documents, and how many of them another one has too. Shingles are counted by partial aggregation."""
     some = members.join(dids, "did", "left_semi")
-    lone = some.mapInArrow(own_shingles, "shingle long, did long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("did").alias("did")).where("k = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
+    lone = some.mapInArrow(lean(own_shingles), "shingle long, did long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("did").alias("did")).where("k = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
     n = (F.length("members") / 8).cast("long")
     return settle(some.select("did", n.alias("n")).join(lone, "did", "left").select("did", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")))
 
@@ -281,16 +281,16 @@ def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
 def group_near(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = settle(base.mapInArrow(sketch, SKETCH))
+    sketched = settle(base.mapInArrow(lean(sketch), SKETCH))
     full = sketched.where("n_shingles > 0")
     classes = settle(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("did", "sketch")).alias("m")).select("d1", "d2", "n_shingles", "m.*"))
-    dealt = classes.mapInArrow(bands, "band long, did long")
+    dealt = classes.mapInArrow(lean(bands), "band long, did long")
     centres = dealt.groupBy("band").agg(F.min("did").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(dealt.join(centres, "band").select("band", "did", "centre"))
     stars = shared.where("did <> centre").groupBy(F.col("did").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tried = settle(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
     near = shared.select("did").distinct()
-    members = settle(base.select("did", "text").join(near.hint("shuffle_hash"), "did", "left_semi").dropDuplicates(["did"]).mapInArrow(sets, "did long, members binary"))
+    members = settle(base.select("did", "text").join(near.hint("shuffle_hash"), "did", "left_semi").dropDuplicates(["did"]).mapInArrow(lean(sets), "did long, members binary"))
     shared = shared.select("band", "did")
     found = components(confirmed(tried, members))
     sizes = with_sizes(torn(shared, found).select("did").distinct(), members)

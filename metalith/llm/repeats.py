@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metalith.llm.kernels import Runs, U, mix, run_windows, slices, span_hash
-from metalith.llm.shared import settle, shuffle_width
+from metalith.llm.shared import lean, settle, shuffle_width
 
 HOT = 64
 CHUNK_RUNS = 500_000
@@ -387,10 +387,10 @@ def find_repeats(docs: DataFrame, walks: Walks, texts=None, sort_texts=None) ->
     """(did, doc_id, text) and, per did, the list ``found`` of (key, at) for ``finish``."""
     buckets = 4 * shuffle_width(docs.sparkSession)
     base = with_did(docs)
-    sent = base.select("did", "text").mapInArrow(announce(walks, buckets), MAIL)
+    sent = base.select("did", "text").mapInArrow(lean(announce(walks, buckets)), MAIL)
     first = settle(sent.groupBy("bucket").applyInArrow(compact(walks), REPLY))
     forks = first.where(F.col("kind") >= SEND).groupBy("did").agg(F.collect_list(F.struct("key", "kind")).alias("asked"))
-    edges = base.select("did", "text").join(forks.hint("shuffle_hash"), "did").mapInArrow(fork_out(walks, buckets, texts), MAIL)
+    edges = base.select("did", "text").join(forks.hint("shuffle_hash"), "did").mapInArrow(lean(fork_out(walks, buckets, texts)), MAIL)
     second = settle(edges.groupBy("bucket").applyInArrow(resolve(walks, sort_texts), FLAG))
     found = first.where(F.col("kind") <= SELF).select("did", "key", (-1 - F.col("kind")).cast("int").alias("at")).unionByName(second)
     return base, found.groupBy("did").agg(F.collect_list(F.struct("key", "at")).alias("found"))
@@ -399,4 +399,4 @@ def find_repeats(docs: DataFrame, walks: Walks, texts=None, sort_texts=None) ->
 def apply_report(base: DataFrame, found: DataFrame, walks: Walks, report, schema: pa.Schema, ddl: str) -> DataFrame:
     empty = F.array().cast("array<struct<key:bigint,at:int>>")
     joined = base.join(found.hint("shuffle_hash"), "did", "left").select("did", "doc_id", "text", F.coalesce("found", empty).alias("found"))
-    return joined.mapInArrow(finish(walks, report, schema), ddl)
+    return joined.mapInArrow(lean(finish(walks, report, schema)), ddl)
