@@ -36,8 +36,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens and ids of each document."""
-    return tokenizer(spark).encode(docs)
+    """doc_id, lang, source, n_chars, n_tokens and ids of each document, and the text that the ids decode to."""
+    return tokenizer(spark).encode(docs, decoded="text")
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ STAGES = [
     ("line dedup", lines),
     ("MinHash near-dedup", near_duplicates),
     ("mixing sources to target weights", mixture),
-    ("byte-level BPE encoding", encoding),
+    ("byte-level BPE encoding and decoding", encoding),
 ]
 #: Near duplicates and the exponent's search are not said in SQL; tests compare with a plain version.
 ORACLE_SQL = None
