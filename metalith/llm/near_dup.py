@@ -6,26 +6,29 @@ variables of rate ``RATE``, truncated to 16 bits. Registers of a union are the m
 registers, so sketches merge; with b near 1 the chance that two registers agree is
 close to the similarity of the sets, so bands of register values find similar sets.
 
-1. Sketch every whole text once (Arrow batches); documents with equal sets, by a 128-bit
-   digest of the set, form a class with its least document. A group of copies, however
-   large, is one class from here on: the class is a partial aggregate.
+1. Sketch every whole text once (Arrow batches); rows with equal sets, by a 128-bit
+   digest of the set, form a class. A group of copies, however
+   large, is one class from here on: the class is a partial aggregate. What follows links classes,
+   never ids, so rows that share an id, or have none, keep the links of each text.
 2. Deal each class by bands of ``BAND`` registers. Per band value the least class is the centre and
    all others form one candidate pair with it (a star, never all pairs); each class keeps the centre it
    shares most values with.
-3. Confirm candidates on full sets, exactly, and join what is linked into components.
-4. Band values that still hold several components are torn. A shingle that no other document
+3. In this and every later round, the similarity of each candidate pair is estimated from the two sketches by likelihood;
+   what can be near is verified on full sets, exactly, and what is linked is joined into components.
+4. Band values that still hold several components are torn. A shingle that no other class
    of a torn value has can be in no common part, so with c shingles that some other has, n in all
    and m in the other set, the similarity is at most min(c, c') / (n + m - min(c, c')). This exact bound
-   clears most torn values. In the rest the document with the least share of own
+   clears most torn values. In the rest the class with the least share of own
    shingles is the next centre, and after two such rounds the pairs across components are found by
-   their rarest shingles (an exact prefix filter), and those the sketches allow are confirmed. Documents inside one component need no comparison: a link
+   their rarest shingles (an exact prefix filter). Classes inside one component need no comparison: a link
    between them changes nothing.
 
 A pair at the threshold is missed by all bands with a chance below 1e-7.
 
 Defined cases: a null text, or one without words, is empty and linked with nothing; a
-text of fewer than five words is one shingle; repeated rows (the same doc_id) each get
-a row; a null doc_id counts as the greatest id; columns other than doc_id and text
+text of fewer than five words is one shingle; repeated rows each get a row; rows that share a doc_id but not a text
+are linked each by its own text, and each gets the least id that its text reaches; a null doc_id counts as the
+greatest id, and where a component has no other, its component_id is null and its rows are kept; columns other than doc_id and text
 are not read.
 """
 
@@ -113,8 +116,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[np.arange(len(a)), ll.argmax(axis=1)]
 
 
-SKETCH = "did long, doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
-SKETCH_ARROW = pa.schema([("did", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+SKETCH = "rid long, did long, doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+SKETCH_ARROW = pa.schema([("rid", pa.int64()), ("did", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
+MEMBERS = "n_shingles long, d1 long, d2 long, members binary"
+
+
+def digests(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set, whatever the order of its members."""
+    out = []
+    for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
+        sums = np.append(U(0), np.cumsum(mix(h ^ U(salt))))
+        out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U)).view(np.int64))
+    return out
 
 
 def sketch(batches):
@@ -124,15 +137,12 @@ def sketch(batches):
             row, h = shingle_sets(buf, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
             n.append(np.diff(bounds))
-            for out, salt in ((d1, 0x1F83D9ABFB41BD6B), (d2, 0x5BE0CD19137E2179)):
-                sums = np.append(U(0), np.cumsum(mix(h ^ U(salt))))
-                out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U)))
+            for out, d in zip((d1, d2), digests(h, bounds)):
+                out.append(d)
             sketches += [registers(h[lo:hi]).tobytes() if hi > lo else b"" for lo, hi in zip(bounds[:-1], bounds[1:])]
         if n:
-            yield pa.record_batch(
-                [batch.column("did"), batch.column("doc_id"), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(d1).view(np.int64)), pa.array(np.concatenate(d2).view(np.int64)), pa.array(sketches, pa.binary())],
-                schema=SKETCH_ARROW,
-            )
+            columns = [batch.column(c) for c in ("rid", "did", "doc_id")] + [pa.array(np.concatenate(x), pa.int64()) for x in (n, d1, d2)]
+            yield pa.record_batch([*columns, pa.array(sketches, pa.binary())], schema=SKETCH_ARROW)
 
 
 def bands(batches):
@@ -145,7 +155,7 @@ def bands(batches):
 
 
 def likely(batches):
-    """Pairs with both sketches to those worth confirming, with the estimate."""
+    """Pairs with both sketches to those worth verifying, with the estimate."""
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS) for c in ("sketch_a", "sketch_b"))
         na, nb = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
@@ -166,14 +176,13 @@ def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def sets(batches):
-    """Whole texts to sorted shingle hashes, as 8-byte numbers."""
+    """Whole texts to the digests of their sets and the sorted shingle hashes, as 8-byte numbers."""
     for batch in batches:
-        out = []
         for _, buf, offsets in slices(batch.column("text")):
             row, h = shingle_sets(buf, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
-            out += [h[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
-        yield pa.record_batch([batch.column("did"), pa.array(out, pa.binary())], names=["did", "members"])
+            members = [h[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pa.record_batch([pa.array(np.diff(bounds), pa.int64()), *map(pa.array, digests(h, bounds)), pa.array(members, pa.binary())], names=["n_shingles", "d1", "d2", "members"])
 
 
 def confirm(batches):
@@ -187,9 +196,10 @@ def confirm(batches):
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    joined = pairs.select("a", "b").join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
+def confirmed(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near: estimated from the sketches, then verified on full sets."""
+    estimated = settle(with_sketches(pairs.select("a", "b"), classes).select("a", "b"))
+    joined = estimated.join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
     return settle(joined.mapInArrow(lean(confirm), "a long, b long"))
 
 
@@ -278,21 +288,29 @@ def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
     return settle(some.select("did", n.alias("n")).join(lone, "did", "left").select("did", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")))
 
 
-def group_near(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+NO_ID = 2**63 - 1
+
+
+def labelled_rows(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """Per row of ``docs``: rid (null without a column of row numbers), did, doc_id, n_shingles, component (the least did that it reaches) and group (a number of the component; null without words)."""
+    number = F.col(f"`{rid}`") if rid else F.lit(None)
+    base = docs.select(number.cast("long").alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = settle(base.mapInArrow(lean(sketch), SKETCH))
-    full = sketched.where("n_shingles > 0")
-    classes = settle(full.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("did", "sketch")).alias("m")).select("d1", "d2", "n_shingles", "m.*"))
+    by_set = ["n_shingles", "d1", "d2"]
+    grouped = sketched.where("n_shingles > 0").groupBy(*by_set).agg(F.min("did").alias("least"), F.any_value("sketch").alias("sketch"))
+    # the numbers of the classes are written once, and so stay what they are
+    classes = settle(grouped.withColumn("did", F.monotonically_increasing_id()))
     dealt = classes.mapInArrow(lean(bands), "band long, did long")
     centres = dealt.groupBy("band").agg(F.min("did").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = settle(dealt.join(centres, "band").select("band", "did", "centre"))
     stars = shared.where("did <> centre").groupBy(F.col("did").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tried = settle(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
-    near = shared.select("did").distinct()
-    members = settle(base.select("did", "text").join(near.hint("shuffle_hash"), "did", "left_semi").dropDuplicates(["did"]).mapInArrow(lean(sets), "did long, members binary"))
+    near = settle(classes.join(shared.select("did").distinct(), "did", "left_semi").select(*by_set, "least", "did"))
+    texts = base.select("did", "text").join(near.select(F.col("least").alias("did")).distinct().hint("shuffle_hash"), "did", "left_semi")
+    members = texts.mapInArrow(lean(sets), MEMBERS).join(near.hint("shuffle_hash"), by_set).select("did", "members")
+    members = settle(members.groupBy("did").agg(F.any_value("members").alias("members")))
     shared = shared.select("band", "did")
-    found = components(confirmed(tried, members))
+    found = components(confirmed(tried, classes, members))
     sizes = with_sizes(torn(shared, found).select("did").distinct(), members)
     for _ in range(STAR_ROUNDS):
         rest = settle(torn(shared, found, sizes))
@@ -304,25 +322,34 @@ def group_near(docs: DataFrame) -> DataFrame:
         rays = rays.join(tried, ["a", "b"], "left_anti").groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         rays = settle(rays)
         tried = settle(tried.unionByName(rays))
-        found = components(confirmed(rays, members), found)
+        found = components(confirmed(rays, classes, members), found)
     rest = torn(shared, found, sizes).select("did", "component", "n").distinct()
-    across = sharing_rare(settle(rest), members).join(tried, ["a", "b"], "left_anti")
-    found = components(confirmed(settle(with_sketches(across, classes)), members), found)
-    labelled = classes.select("d1", "d2", "n_shingles", "did").join(found, "did", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "did").alias("component"))
-    named = sketched.join(labelled, ["d1", "d2", "n_shingles"], "left").select("did", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("did")).alias("component"))
-    null_id = F.lit(2**63 - 1)
-    return named.select(
+    across = settle(sharing_rare(settle(rest), members).join(tried, ["a", "b"], "left_anti"))
+    found = components(confirmed(across, classes, members), found)
+    numbered = classes.select(*by_set, "did", "least").join(found, "did", "left").select(*by_set, "least", F.coalesce("component", "did").alias("group"))
+    least = numbered.groupBy("group").agg(F.min("least").alias("component"))
+    named = settle(numbered.drop("least").join(least, "group"))
+    return sketched.drop("sketch").join(named, by_set, "left").select("rid", "did", "doc_id", "n_shingles", F.coalesce("component", "did").alias("component"), "group")
+
+
+def group_near(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return labelled_rows(docs).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("component") != null_id, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("component") != NO_ID, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         (F.col("did") == F.col("component")).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of its least doc_id; documents without words stay.
-
-    The ids to drop meet the documents in one shuffle join."""
-    name = free_name(docs)
-    gone = group_near(docs).where(~F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone[name], "left_anti")
+    """``docs`` with one row of each group of near duplicates: that of its least doc_id, the first such row if there are several; rows without words stay.
+
+    The rows are numbered in a written copy, so that rows are dropped and never ids: another text
+    under the doc_id of a dropped one stays. The numbers to drop meet the documents in one shuffle join."""
+    rid = free_name(docs)
+    rows = settle(docs.withColumn(rid, F.monotonically_increasing_id()))
+    marked = settle(labelled_rows(rows, rid).where(F.col("group").isNotNull()).select("rid", "did", "group"))
+    first = marked.groupBy("group").agg(F.min(F.struct("did", "rid")).alias("m")).select("m.rid")
+    gone = marked.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(rid))
+    return rows.join(gone.hint("shuffle_hash"), rid, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -255,6 +255,78 @@ def test_near_group_of_many_edits(documents, monkeypatch, rounds):
     assert rows_of(near_dup.group_near(documents(rows)).select("doc_id", "n_shingles", "component_id", "kept")) == plain_groups(rows)
 
 
+def plain_groups_of_rows(rows):
+    """Links are between texts; a row's component is the least id that its text reaches, no id being the greatest."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                up[find(i)] = find(j)
+    least = collections.defaultdict(lambda: float("inf"))
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least[find(i)], float("inf") if d is None else d)
+    return [(find(i), None if least[find(i)] == float("inf") else least[find(i)]) for i in range(len(rows))]
+
+
+def rows_that_share_ids():
+    r = random.Random(17)
+    a, b, c, d = (" ".join(f"{k}{r.randrange(50)}" for _ in range(100)) for k in "abcd")
+    near = [x + " and a few more words" for x in (a, b, c, d)]
+    return [(1, a), (1, b), (3, near[1]), (2, near[0]), (None, c), (None, near[2]), (None, d), (7, near[3]), (None, "no other has this"), (5, c[:40]), (5, "one"), (6, "one"), (8, ""), (8, None), (1, a)]
+
+
+def test_near_rows_that_share_an_id(documents):
+    rows = rows_that_share_ids()
+    got = near_dup.group_near(documents([(*x, f"s{i}") for i, x in enumerate(rows)]).withColumn("did", F.lit("x")))
+    want = collections.Counter((d, c, (2**63 - 1 if d is None else d) == (2**63 - 1 if c is None else c)) for (d, _), (_, c) in zip(rows, plain_groups_of_rows(rows)))
+    assert collections.Counter((x["doc_id"], x["component_id"], x["kept"]) for x in got.collect()) == want
+
+
+def test_one_row_of_each_group_stays(documents):
+    """Rows are dropped, not ids: a text stays though its id is that of a dropped one; near copies without an id go."""
+    rows = rows_that_share_ids()
+    of = [g for g, _ in plain_groups_of_rows(rows)]
+    kept = near_dup.keep_one(documents([(*x, f"s{i}") for i, x in enumerate(rows)]).withColumn("rid", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "source", "rid"]
+    at = sorted(int(x["source"][1:]) for x in kept.collect())
+    worded = [i for i in at if rows[i][1]]
+    assert len({of[i] for i in worded}) == len(worded) == len({g for g, (_, t) in zip(of, rows) if t})
+    for i in worded:
+        assert (rows[i][0] is None, rows[i][0] or 0) == min((rows[j][0] is None, rows[j][0] or 0) for j in range(len(rows)) if of[j] == of[i] and rows[j][1])
+    assert {12, 13} <= set(at)
+
+
+def test_recall_of_bands_and_estimate():
+    """Pairs at the threshold and above share a band value and pass the estimate: measured against the exact similarity."""
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    caught = total = 0
+    for _ in range(400):
+        n, j = int(r.integers(20, 400)), float(r.uniform(0.75, 0.95))
+        both = int(np.ceil(2 * n * j / (1 + j)))
+        common, x, y = (r.integers(0, 2**63, k).astype(np.uint64) for k in (both, n - both, n - both))
+        a, b = np.concatenate([common, x]), np.concatenate([common, y])
+        if 100 * both < 75 * (2 * n - both):
+            continue
+        p, q = near_dup.registers(a), near_dup.registers(b)
+        share = (p.reshape(-1, near_dup.BAND) == q.reshape(-1, near_dup.BAND)).all(axis=1).any()
+        likely = near_dup.estimate(p[None], q[None], np.array([float(n)]), np.array([float(n)]))[0] >= near_dup.ESTIMATE_FLOOR
+        total += 1
+        caught += bool(share and likely)
+    assert total > 300 and caught == total
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
