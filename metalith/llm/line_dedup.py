@@ -21,7 +21,7 @@ Defined cases: a null text stays null and has no lines; lines without a word are
 counted nor removed; white space around a line is ignored when lines are compared; a null
 site counts as one site of its own; repeated rows are treated alike; a document that
 loses all its lines keeps its row with an empty text (only blank lines may remain);
-texts are read whole; extra columns pass through.
+texts are read whole; extra columns pass through, but for those named as the counts where these are asked for.
 """
 
 from __future__ import annotations
@@ -87,21 +87,19 @@ def narrowed(lines: DataFrame, keys: DataFrame) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source", counts: bool = False, once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text; with ``counts`` also n_lines and n_removed; with ``once`` copies of a text count as one."""
     bad = boilerplate(once_each(docs, doc_id, text, site), sites, "text", "site") if once else boilerplate(docs, sites, text, site)
-    did = free_name(docs, "n_lines", "n_removed", "_bad")
-    keyed = docs.withColumn(did, F.xxhash64(F.col(doc_id), F.col(text)))
-    lines = (
-        keyed.select(F.col(did).alias("did"), F.explode(lines_of(F.col(text))).alias("line"))
-        .where(has_word(F.col("line")))
-        .select("did", line_key(F.col("line")).alias("key"))
-    )
-    found = narrowed(lines, bad).groupBy("did").agg(F.collect_set("key").alias("_bad")).withColumnRenamed("did", did)
-    joined = keyed.join(found.hint("shuffle_hash"), did, "left")
-    body = lines_of(F.col(text))
-    kept = F.filter(body, lambda x: ~(has_word(x) & F.array_contains(F.col("_bad"), line_key(x))))
-    cleaned = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    names: list[str] = []
+    for _ in range(4):
+        names.append(free_name(docs, *names))
+    row, whole, did, gone = names
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(text).alias(whole), F.xxhash64(F.col(doc_id), F.col(text)).alias(did))
+    lines = held.select(F.col(did).alias("did"), F.explode(lines_of(F.col(whole))).alias("line")).where(has_word(F.col("line"))).select("did", line_key(F.col("line")).alias("key"))
+    found = narrowed(lines, bad).groupBy("did").agg(F.collect_set("key").alias(gone)).withColumnRenamed("did", did)
+    body = lines_of(F.col(whole))
+    kept = F.filter(body, lambda x: ~(has_word(x) & F.array_contains(F.col(gone), line_key(x))))
+    cleaned = F.when(F.col(gone).isNull(), F.col(whole)).otherwise(F.array_join(kept, "\n"))
+    out = [cleaned.alias(c) if c == text else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_removed"))]
     if counts:
         n = F.coalesce(F.size(F.filter(body, has_word)), F.lit(0))
         left = F.coalesce(F.size(F.filter(kept, has_word)), F.lit(0))
-        out += [F.when(F.col(text).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.when(F.col("_bad").isNull(), 0).otherwise(n - left).cast("bigint").alias("n_removed")]
-    return joined.select(*out)
+        out += [F.when(F.col(whole).isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(n - left).cast("bigint").alias("n_removed")]
+    return held.join(found.hint("shuffle_hash"), did, "left").select(*out)
