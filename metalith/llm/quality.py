@@ -10,7 +10,7 @@ Everything is a DataFrame expression: there is no shuffle up to the ledger, and
 
 Defined cases: a null text has no words and fails ``few_words``; an empty text
 likewise; very long texts are measured whole (3-word windows are sorted within
-their row); repeated rows each get their own ledger row; extra columns pass through,
+their row, by 64-bit hashes: two different windows of one row that share a hash would count as one); repeated rows each get their own ledger row; extra columns pass through,
 and when an input column has a ledger column's name the ledger's value wins.
 """
 
@@ -21,9 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metalith.llm.shared import SPACE_CLASS
+from metalith.llm.shared import free_name
 
 SYMBOLS = "#*$%&|<>"
+#: Hashes that are looked up in a list, one by one.
+LISTED = 32
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -67,22 +69,31 @@ def _bind(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by a 3-word window that occurs twice or more in the row: windows sorted by hash, equal neighbours kept, their positions sorted and their union measured."""
+    """Words covered by a 3-word window that occurs twice or more in the row; windows are compared by a 64-bit hash.
+
+    The bare hashes are sorted. Where some stand twice, the windows that have one of them are looked up, in a list while
+    it is short and else by sorting (hash, position), and the union of what they cover is measured; both ways find the same."""
 
     def measured(w: Column) -> Column:
         last = F.size(w) - 2
-        windows = F.when(
-            last >= 2,
-            F.array_sort(F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("i")))),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-        return _bind(windows, covered)
+        hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        return F.when(last >= 2, _bind(hashes, counted)).otherwise(F.lit(0).cast("bigint"))
+
+    def counted(h: Column) -> Column:
+        return _bind(_bind(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1) == x, F.lit(False))))), lambda twice: covered(h, twice))
+
+    def covered(h: Column, twice: Column) -> Column:
+        looked_up = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.array_contains(twice, F.get(h, i - 1)))
+        return F.when(F.size(twice) == 0, F.lit(0).cast("bigint")).when(F.size(twice) <= LISTED, _bind(looked_up, union)).otherwise(_bind(by_sorting(h), union))
 
-    def covered(s: Column) -> Column:
-        def same(x: Column, k: Column) -> Column:
-            return F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    def by_sorting(h: Column) -> Column:
+        def twins(s: Column) -> Column:
+            def same(x: Column, k: Column) -> Column:
+                return F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
 
-        twins = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        return _bind(F.array_sort(F.transform(twins, lambda x: x["i"])), union)
+            return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
+
+        return _bind(F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), (k + 1).alias("i")))), twins)
 
     def union(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
@@ -93,28 +104,24 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``MEASURES``."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    words = F.filter(F.split(body, f"{SPACE_CLASS}+"), lambda w: w != "")
+    words = F.regexp_extract_all(body, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def long(c: Column) -> Column:
         return c.cast("bigint")
 
+    counts = _bind(words, lambda w: F.struct(long(F.size(w)).alias("n"), _repeat_words(w).alias("repeat")))
     counted = F.struct(
-        long(F.size(words)).alias("n_words"),
+        counts.alias("words"),
         long(F.length(F.translate(body, " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
         long(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).alias("n_symbols"),
         _bind(lines, lambda x: F.struct(long(F.size(x)).alias("n"), long(F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
-        _repeat_words(words).alias("n_repeat_words"),
     )
     kept = [c for c in docs.columns if c.lower() not in {m.lower() for m in MEASURES}]
-    held = docs.select(*[F.col(f"`{c}`") for c in kept], counted.alias("_measured"))
-    return held.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[F.col(f"_measured.{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols")],
-        F.col("_measured.lines.dup").alias("n_dup_lines"),
-        F.col("_measured.n_repeat_words").alias("n_repeat_words"),
-        F.col("_measured.lines.n").alias("n_lines"),
-    )
+    name = free_name(docs)
+    held = docs.select(*[F.col(f"`{c}`") for c in kept], counted.alias(name))
+    fields = {"n_words": "words.n", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_dup_lines": "lines.dup", "n_repeat_words": "words.repeat", "n_lines": "lines.n"}
+    return held.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{name}.{fields[m]}").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -387,6 +387,29 @@ def test_quality_measures(documents):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_windows_both_ways(documents, monkeypatch):
+    """Repeated windows are the same whether hashes are looked up or sorted."""
+    rows = some_docs(14)
+    for listed in (0, 10**6):
+        monkeypatch.setattr(quality, "LISTED", listed)
+        got = {r["doc_id"]: r["n_repeat_words"] for r in quality.quality_report(documents(rows)).collect()}
+        assert got == {d: plain_quality(t)[4] for d, t in rows}
+
+
+def test_columns_that_clash(documents):
+    """Columns with the names of results or of inner columns neither break a step nor change its result."""
+    rows = [(i, f"own {i}\nshared line", f"site{i}") for i in range(12)]
+    names = "_bad n_lines n_removed did row body bad key line site N_Lines2 _measured n_words FAILED_BITS lines words _m0 rid group component".split()
+    crowded = documents(rows).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    cleaned = line_dedup.remove_boilerplate(crowded, counts=True)
+    assert cleaned.columns == [c for c in crowded.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    assert {(r["text"], r["_bad"], r["n_lines"], r["n_removed"]) for r in cleaned.collect()} == {(f"own {i}", "_bad", 2, 1) for i in range(12)}
+    assert line_dedup.remove_boilerplate(crowded).columns == crowded.columns
+    led = quality.ledger(crowded).collect()
+    assert {(r["_measured"], r["n_words"], r["failed_bits"] & 1) for r in led} == {("_measured", 4, 1)}
+    assert quality.keep_good(crowded).columns == mixing.mix(crowded).columns == near_dup.keep_one(crowded).columns == crowded.columns
+
+
 def test_quality_policies(documents):
     led = quality.ledger(documents(some_docs(10)).withColumn("n_words", F.lit("clash")))
     mask = quality.policy_mask(quality.DEFAULT_POLICY)
