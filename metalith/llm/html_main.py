@@ -6,9 +6,12 @@ terminals. Neighbouring blocks, and blocks next to each other among the children
 element, are tied by smoothness edges. The minimum cut is the cheapest labelling,
 found by augmenting paths; blocks on the source side are the main text.
 
-The classifier reads the innermost element around a block that says what it is for (its tag,
-or the words of its class, id and role), the share of link text, length and punctuation. Its
-weights are fixed values, so a page's result depends on that page alone.
+The classifier is a logistic regression over what a block is (``FEATURES``): length, share of link text,
+punctuation, tag, the innermost tag around it that says what it is for, what the words of classes, ids and roles around
+it say (in two strengths), words of notices in its text, and how much text its container has. It is
+fitted on the labelled sample pages of ``html_samples`` (``SAMPLE_PAGES`` of them), by Newton steps on the driver, and
+shipped as ``WEIGHTS`` numbers; so a page's result depends on that page alone. No single feature decides: long plain prose
+outweighs a class word, and a class word outweighs short prose.
 
 Text of a block: character references decoded, white space turned into one space, trimmed.
 Blocks are joined in page order by one line feed.
@@ -20,13 +23,17 @@ each get a row; columns other than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import functools
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from metalith.llm import html_samples
 from metalith.llm.shared import lean
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -44,43 +51,53 @@ LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_ ]?[A-Za-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose text is never shown as text.
-SKIPPED = frozenset("script style noscript template svg math head title iframe object canvas textarea select option button audio video datalist".split())
+SKIPPED = frozenset("script style noscript template svg annotation annotation-xml head title iframe object canvas textarea select option button audio video datalist".split())
 #: Of these, elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that stand inside a line of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr math semantics mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder mspace mstyle".split())
 #: What an element's tag says.
 BAD_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 #: Elements of which a form is no part, but the other way round.
 PAGE_PARTS = frozenset("article main nav header footer h1".split())
-#: What a word of a class, id or role says.
+#: What a word of a class, id or role says, clearly or perhaps.
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
-    "subscription signup login register sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar footer foot header masthead comment comments disqus "
-    "reply replies share sharing social follow related recommended recommendations recommend pagination pager paging search complementary contentinfo legal copyright disclaimer tags "
-    "outbrain taboola teaser toc skip form announcement message messages warning feedback respond trending popular shoutbox".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup login register "
+    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar footer masthead comment comments disqus share sharing social related recommended recommendations pagination pager "
+    "complementary contentinfo outbrain taboola skip shoutbox".split()
+)
+MAYBE_BAD_WORDS = frozenset(
+    "alert overlay rail widget widgets foot header head reply replies follow recommend paging search legal copyright disclaimer tags teaser toc form announcement message messages warning feedback respond "
+    "trending popular".split()
 )
 GOOD_WORDS = frozenset("article post story entry main body text prose articlebody maincontent content hentry".split())
+#: Words of notices, as they stand in texts.
+NOTICE_WORDS = re.compile(r"\b(?:cookies?|privacy|consent|accept|subscribe|newsletter|advertis\w+|preferences|tracking|policy|copyright|all rights reserved|terms of (?:use|service)|sign up|log in)\b|©", re.I)
 
-#: The classifier's weights, as log-odds of being content, and the smoothness of the cut.
-BIAS, GOOD, BAD = -0.3, 5.0, -7.0
-PER_WORD, MOST_WORDS, PER_LINK_SHARE, SENTENCE, HEADING = 0.08, 2.5, -3.5, 0.8, 0.8
+#: Smoothness of the cut: ties of blocks in one kind of place, and across a change of it.
 NEAR, SIBLING, ACROSS = 0.6, 0.6, 0.15
+#: The penalty of large weights in the fit, and its Newton steps.
+RIDGE, STEPS = 1.0, 12
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
 class Element:
-    __slots__ = ("tag", "own", "skip", "parent")
+    __slots__ = ("tag", "own", "words", "skip", "parent", "_place")
 
     def __init__(self, tag: str, attributes: str, parent):
-        self.tag, self.parent = tag, parent
+        self.tag, self.parent, self._place = tag, parent, None
         self.skip = tag in SKIPPED or parent is not None and parent.skip or hides(attributes)
-        self.own = hint_of(tag, attributes)
-        if tag == "header" and self.own < 0 and parent is not None and parent.hint > 0:
-            self.own = 0  # the header of an article holds its title
-        if tag in PAGE_PARTS or self.own > 0:
+        self.own = 0 if tag in ("html", "body") else -1 if tag in BAD_TAGS else 1 if tag in GOOD_TAGS else 0
+        self.words = (0, 0, 0) if tag in ("html", "body") else words_of(attributes)
+        if tag == "header":
+            above = parent
+            while above is not None and not above.own:
+                above = above.parent
+            if above is not None and above.own > 0:
+                self.own = 0  # the header of an article holds its title
+        if tag in PAGE_PARTS or self.own > 0 or self.words[0]:
             form = parent
             while form is not None:
                 if form.tag == "form":
@@ -88,14 +105,28 @@ class Element:
                 form = form.parent
 
     @property
-    def hint(self) -> int:
-        """Of the innermost element that says anything."""
-        e = self
-        while e is not None:
-            if e.own:
-                return e.own
-            e = e.parent
-        return 0
+    def place(self) -> tuple[int, ...]:
+        """What the elements around a text say, when the page has been read: of the innermost tag that says anything, good and bad; of the innermost words that do, good,
+        bad and perhaps bad; and whether words farther out are bad, without and with a good element in between."""
+        if self._place is None:
+            tag = good = bad = maybe = far = past = 0
+            named = between = False
+            e = self
+            while e is not None:
+                tag = tag or e.own
+                if any(e.words):
+                    if not named:
+                        named = True
+                        good, bad, maybe = e.words
+                    elif e.words[1]:
+                        if between:
+                            past = 1
+                        else:
+                            far = 1
+                between = between or e.own > 0
+                e = e.parent
+            self._place = (int(tag > 0), int(tag < 0), good, bad, maybe, far, past)
+        return self._place
 
 
 def hides(attributes: str) -> bool:
@@ -115,22 +146,17 @@ def hides(attributes: str) -> bool:
     return display.replace("!important", "").strip() == "none"
 
 
-def hint_of(tag: str, attributes: str) -> int:
-    """-1, 0 or 1: what an element says about the text in it."""
-    if tag in ("html", "body"):
-        return 0
-    if tag in BAD_TAGS:
-        return -1
-    good = tag in GOOD_TAGS
-    bad = False
+def words_of(attributes: str) -> tuple[int, int, int]:
+    """Whether the words of an element's attributes are good, bad and perhaps bad."""
+    good = bad = maybe = 0
     if attributes and "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", LAYOUT.sub(" ", m[2] or m[3] or m[4] or "")))}
-            bad |= not words.isdisjoint(BAD_WORDS) or m[1].lower() == "class" and hidden_class(m[2] or m[3] or m[4] or "")
+            value = m[2] or m[3] or m[4] or ""
+            words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", LAYOUT.sub(" ", value)))}
+            bad |= not words.isdisjoint(BAD_WORDS) or m[1].lower() == "class" and hidden_class(value)
+            maybe |= not words.isdisjoint(MAYBE_BAD_WORDS)
             good |= not words.isdisjoint(GOOD_WORDS)
-    if bad:
-        return 1 if tag in GOOD_TAGS and "comment" not in attributes.lower() else -1
-    return 1 if good else 0
+    return int(good), int(bad), int(maybe)
 
 
 def hidden_class(value: str) -> bool:
@@ -201,15 +227,46 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def score(b: Block) -> float:
-    """Log-odds that a block is content."""
-    words = b.text.count(" ") + 1
-    s = BIAS + min(MOST_WORDS, PER_WORD * words) + PER_LINK_SHARE * min(1.0, b.links / max(1, len(b.text)))
-    if b.text[-1] in ".!?…:;\"”»)" and words > 3:
-        s += SENTENCE
-    if b.tag in HEADINGS:
-        s += HEADING
-    return s + (GOOD if b.element.hint > 0 else BAD if b.element.hint < 0 else 0.0)
+FEATURES = (
+    "one", "log words", "words to 40", "link share", "sentence", "heading", "paragraph", "list item", "few words", "notice words", "good tag", "bad tag", "good words", "bad words", "maybe bad words",
+    "far bad words", "bad words past a good tag", "log words of the container", "container's share", "bad and long", "bad tag and long",
+)
+WEIGHTS = len(FEATURES)
+
+
+def features(blocks: list[Block]) -> list[tuple[float, ...]]:
+    counts = [b.text.count(" ") + 1 for b in blocks]
+    held: Counter[int] = Counter()
+    for b, n in zip(blocks, counts):
+        held[id(b.element.parent)] += n
+    total = sum(counts)
+    out = []
+    for b, n in zip(blocks, counts):
+        good_tag, bad_tag, good, bad, maybe, far, past = b.element.place
+        most = min(n, 40) / 40
+        around = held[id(b.element.parent)]
+        out.append((
+            1.0, math.log1p(n), most, min(1.0, b.links / max(1, len(b.text))), float(b.text[-1] in ".!?…:;\"”»)" and n > 3), float(b.tag in HEADINGS), float(b.tag in ("p", "blockquote", "pre")), float(b.tag == "li"),
+            float(n <= 3), float(min(2, len(NOTICE_WORDS.findall(b.text)))) if n < 60 else 0.0, good_tag, bad_tag, good, bad, maybe, far, past, math.log1p(around), around / total, bad * most, bad_tag * most,
+        ))
+    return out
+
+
+@functools.cache
+def fitted(n: int = html_samples.SAMPLE_PAGES, seed: int = html_samples.SEED) -> tuple[float, ...]:
+    """The weights of the classifier, as log-odds of being content."""
+    rows, labels = [], []
+    for page, said in html_samples.pages(n, seed):
+        blocks = blocks_of(page)
+        rows += features(blocks)
+        labels += [any(w in said for w in b.text.replace(".", " ").split()) for b in blocks]
+    x, y = np.array(rows), np.array(labels, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (y - p) - RIDGE * w
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), slope)
+    return tuple(round(float(v), 6) for v in w)
 
 
 def minimum_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -256,33 +313,34 @@ def minimum_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[b
             room[b][a] += flow
 
 
-def label(blocks: list[Block]) -> list[bool]:
-    gain = [score(b) for b in blocks]
+def label(blocks: list[Block], weights: tuple[float, ...]) -> list[bool]:
+    gain = [sum(f * w for f, w in zip(row, weights)) for row in features(blocks)]
     ties = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         above = id(b.element.parent)
         if i:
             before = blocks[i - 1]
-            ties.append((i - 1, i, NEAR if before.element.hint == b.element.hint else ACROSS))
+            ties.append((i - 1, i, NEAR if before.element.place == b.element.place else ACROSS))
         if above in last and last[above] != i - 1:
-            ties.append((last[above], i, SIBLING if blocks[last[above]].element.hint == b.element.hint else ACROSS))
+            ties.append((last[above], i, SIBLING if blocks[last[above]].element.place == b.element.place else ACROSS))
         last[above] = i
     return minimum_cut(gain, ties)
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
     blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, kept in zip(blocks, label(blocks)) if kept)
+    return "\n".join(b.text for b, kept in zip(blocks, label(blocks, weights or fitted())) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars."""
+    weights = fitted()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, weights) for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     narrow = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
