@@ -32,8 +32,8 @@ def som(blob: bytes | None) -> tuple[int, int] | None:
     return (size, blocks) if valid else None
 
 
-def links(blob: bytes | None) -> list[dict] | None:
-    """Entries (parent_fid, name), or None without a list; entry lengths and parents are big-endian. Stops at the first entry that doesn't fit."""
+def links(blob: bytes | None, names: bool = True) -> list[dict] | None:
+    """Entries (parent_fid, name), or None without a list; entry lengths and parents are big-endian. Stops at the first entry that doesn't fit. Without ``names`` these are null."""
     if blob is None or len(blob) < LINK_HEADER:
         return None
     magic, count = struct.unpack_from("<II", blob)
@@ -46,8 +46,8 @@ def links(blob: bytes | None) -> list[dict] | None:
         size, seq, oid, ver = struct.unpack_from(">HQII", blob, at)
         if size < LINK_ENTRY or at + size > len(blob):
             break
-        name = blob[at + LINK_ENTRY : at + size].rstrip(b"\0")
-        out.append({"parent_fid": fid_text(seq, oid, ver), "name": name.decode("utf-8", "replace")})
+        name = blob[at + LINK_ENTRY : at + size].rstrip(b"\0").decode("utf-8", "replace") if names else None
+        out.append({"parent_fid": fid_text(seq, oid, ver), "name": name})
         at += size
     return out
 

@@ -37,8 +37,7 @@ def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: boo
     One scan of the directories; shards meet the object index by one join on their identifier,
     slaves by an anti join on their master's."""
     dirs = directories(raw, devices, skip_no_fid).select("fid", "device", F.coalesce("incompat", F.lit(0)).cast("bigint").alias("incompat"), "lmv", "links")
-    known = oi(on_devices(raw, devices))
-    first = known.groupBy("fid").agg(F.min_by("device", "ord").alias("at"))
+    first = oi(on_devices(raw, devices)).groupBy("fid").agg(F.min_by("device", "ord").alias("at"))
     role = F.coalesce(F.col("lmv.role"), F.lit("plain"))
     zero = F.lit(0).cast("bigint")
     own = dirs.where(role != "slave").select(
@@ -75,7 +74,7 @@ def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: boo
         )
     )
     slaves = dirs.where(role == "slave").withColumn("master", shard_parent(F.col("fid"), F.col("links"), F.col("lmv.mdt_index"))).where(F.col("master").isNotNull())
-    slaves = slaves.join(known.select(F.col("fid").alias("master")).distinct(), "master", "left_anti").select(
+    slaves = slaves.join(first.select(F.col("fid").alias("master")), "master", "left_anti").select(
         F.col("master").alias("dir_fid"),
         F.col("fid").alias("parent_fid"),
         F.lit("").alias("dir_device"),

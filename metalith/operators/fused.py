@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metalith.functions.fid import parse_fid
+
 
 def inode_links(inodes: DataFrame, links: DataFrame, on_parent: bool = False) -> DataFrame:
     """Inodes with their links, or (``on_parent``) directories with the links of what is in them."""
@@ -64,18 +66,27 @@ def entry_counts(links: DataFrame, dirstripe: DataFrame, inodes: DataFrame) -> D
     return per_dir.join(dirs, "dir_fid").groupBy("dir_fid").agg(F.sum("n").alias("entry_count"))
 
 
-BROADCAST_RANGES = 100_000
 BUCKET_BITS = 24
 
 
 def fld_join(fids: DataFrame, fld: DataFrame) -> DataFrame:
     """``fids`` (column seq) with the target whose half-open range [range_start, range_end) holds it, or null.
 
-    Few ranges (counted first) are broadcast. Otherwise both sides are cut at multiples of
-    2**24 sequences, the size of a grant, and joined on that bucket."""
+    Ranges are cut at multiples of 2**24 sequences, the size of a grant, and both sides meet on that bucket, so that a row meets
+    the ranges of its bucket only; whether the cut ranges are broadcast is left to their measured size."""
     within = (F.col("seq") >= F.col("range_start")) & (F.col("seq") < F.col("range_end"))
-    if fld.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        return fids.join(F.broadcast(fld), within, "left")
     width = F.lit(2**BUCKET_BITS)
-    spread = fld.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("range_start") / width), F.floor((F.col("range_end") - 1) / width))))
-    return fids.withColumn("b", F.floor(F.col("seq") / width)).join(spread, (F.col("b") == F.col("bucket")) & within, "left").drop("b", "bucket")
+    spread = fld.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("range_start") / width).cast("bigint"), F.floor((F.col("range_end") - 1) / width).cast("bigint"))))
+    return fids.withColumn("b", F.floor(F.col("seq") / width).cast("bigint")).join(spread, (F.col("b") == F.col("bucket")) & within, "left").drop("b", "bucket")
+
+
+def locate(fids: DataFrame, fld: DataFrame, oi: DataFrame, targets: DataFrame) -> DataFrame:
+    """``fids`` (column fid) with the device that holds each: that of its sequence's range, if the object index there has it, else the first device whose index does; null without any.
+
+    ``oi`` has (fid, device, ord), ``targets`` (mdt, device), the index of each device's target."""
+    asked = fids.select("fid").distinct()
+    held = oi.join(asked, "fid", "left_semi").groupBy("fid").agg(F.array_sort(F.collect_set(F.struct("ord", "device"))).alias("at"))
+    ranged = fld_join(asked.withColumn("seq", parse_fid(F.col("fid"))["seq"]), fld.select("range_start", "range_end", "mdt")).join(targets.select("mdt", F.col("device").alias("wanted")), "mdt", "left")
+    by_range = F.when(F.exists("at", lambda x: x["device"] == F.col("wanted")), F.col("wanted"))
+    found = ranged.join(held, "fid").groupBy("fid").agg(F.max(F.coalesce(by_range, F.get("at", F.lit(0))["device"])).alias("device"))
+    return fids.join(found, "fid", "left")

@@ -25,6 +25,16 @@ RAW = (
     f"projid bigint, flags bigint, fid string, incompat bigint, links array<struct<parent_fid:string,name:string>>, comps array<{COMPONENT}>, lmv {LMV}"
 )
 INODE_COLUMNS = ["fid", "ino", "type", "mode", "nlink", "uid", "gid", "size", "blocks", "atime", "mtime", "ctime", "projid", "flags", "device"]
+#: Schemas of the relations.
+INODES = (
+    "fid string, ino bigint, type string, mode bigint, nlink bigint, uid bigint, gid bigint, size bigint, blocks bigint, atime timestamp, mtime timestamp, ctime timestamp, projid bigint, flags bigint, device string"
+)
+LINKS = "fid string, parent_fid string, name string, device string"
+LAYOUTS = (
+    "fid string, comp_index bigint, comp_id bigint, mirror_id int, comp_flags bigint, extent_start decimal(20,0), extent_end decimal(20,0), pattern bigint, stripe_size bigint, stripe_count int, "
+    "stripe_offset int, pool string, dstripe_count smallint, cstripe_count smallint, compr_type smallint, compr_lvl smallint, device string"
+)
+OBJECTS = "fid string, comp_index bigint, stripe_index bigint, ost_idx bigint, ost_oi_id decimal(20,0), ost_oi_seq decimal(20,0), device string"
 LINK_COLUMNS = ["fid", "parent_fid", "name", "device"]
 LAYOUT_FIELDS = "comp_index comp_id mirror_id comp_flags extent_start extent_end pattern stripe_size stripe_count stripe_offset pool dstripe_count cstripe_count compr_type compr_lvl".split()
 LAYOUT_COLUMNS = ["fid", *LAYOUT_FIELDS, "device"]
