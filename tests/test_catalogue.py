@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from metalith.plans import catalogue
+from metalith.plans import binary, catalogue  # noqa: F401
 
 
 @pytest.fixture(scope="module")
