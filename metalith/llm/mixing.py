@@ -4,7 +4,7 @@ Token shares of the sources, raised to an exponent t in [0, 1] and normalised, a
 weights: t = 1 keeps the natural mix, t = 0 makes all sources equal. Lowering t raises
 both the mix's entropy and the repetition of the smallest source, so either target is met by
 sectioning the interval (``SECTIONS`` parts a pass, each pass one aggregate over the
-sources). With both targets the repetition limit prevails.
+sources) down to steps of SECTIONS ** -PASSES. With both targets the repetition limit prevails.
 
 The weights are realised against a token budget: a source gets whole copies of all its
 documents and, for the rest of its budget, the head of a permutation of its blocks.

@@ -108,7 +108,24 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query("op8_suffix_array_dedup")
+#: Bytes as two hex digits; windows are grouped by a 128-bit digest of them.
+OP8_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT rid, doc_id, i, md5_number(substring(h, 2 * i + 1, 200)) AS g FROM (SELECT *, unnest(range(length(h) // 2 - 99)) AS i FROM w WHERE length(h) >= 200)),
+f AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+s AS (SELECT rid, i, coalesce(i > lag(i) OVER o + 100, true) AS starts FROM f WINDOW o AS (PARTITION BY rid ORDER BY i)),
+n AS (SELECT rid, i, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS span FROM s),
+r AS (SELECT rid, span, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY rid, span),
+e AS (SELECT rid, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS before FROM r),
+k AS (
+  SELECT w.rid, any_value(doc_id) AS doc_id, any_value(length(h) // 2) AS n_bytes, coalesce(sum(hi - lo), 0) AS n_removed, count(lo) AS n_spans,
+    coalesce(string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo), '') || substring(any_value(h), 2 * coalesce(max(hi), 0) + 1) AS kept
+  FROM w LEFT JOIN e ON e.rid = w.rid GROUP BY w.rid)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""
+
+
+@query("op8_suffix_array_dedup", OP8_SQL)
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
 

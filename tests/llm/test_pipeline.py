@@ -39,6 +39,48 @@ def test_run(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() >= 30
 
 
+def test_run_matches_plain(spark, tmp_path):
+    """Every row of the pipeline, against the plain versions of its stages one after another; columns that clash with inner ones, a very long text and empty ones."""
+    import base64
+    import collections
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from metalith.llm.queries import VOCABULARY
+    from tests.llm import plain
+
+    r = random.Random(41)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(900)]
+    texts = ["\n".join(" ".join(r.choice(words) for _ in range(15)) for _ in range(6)) for _ in range(70)]
+    rows = [(i, t + ("\nthe same footer of all sites" if i % 3 else ""), f"s{i % 14}") for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i] + " and an edit", f"s{i}") for i in range(6)] + [(200 + i, texts[40], f"s{i}") for i in range(12)]
+    rows += [(300, "too short", "s1"), (301, None, None), (302, "", "s2"), (303, "spam spam spam " * 50, "s3"), (304, " ".join(f"w{k}" for k in range(60000)), "s4"), (305, "# $ % & " * 90, "s5")]
+    rows.sort(key=lambda x: r.random())
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = ["ids", "n_tokens", "copies", "mark", "did", "_m0", "component", "words", "key"]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], schema).selectExpr("*", *[f"'{c}' AS {c}" for c in clash])
+    os.makedirs(tmp_path / "sf")
+    docs.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    left = plain.one_of_each_group(plain.without_boilerplate([x for x in rows if plain.good(x[1])]))
+    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.Counter()
+    for (d, t, s), n in zip(left, plain.copies(left, 0.97, 4.0)):
+        want[d, s, t, tuple(own.encode_ordinary(t))] += n
+    got = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    assert collections.Counter((x["doc_id"], x["source"], x["text"], tuple(x["ids"])) for x in got) == +want
+    assert len(left) > 60 and {x["lang"] for x in got} == {"en"} and all(x["n_tokens"] == len(x["ids"]) for x in got)
+
+
+def test_empty_corpus(spark, tmp_path):
+    os.makedirs(tmp_path / "sf")
+    corpus(spark).limit(0).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() == 0
+
+
 @pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_LINES, 0])
 def test_copied_text_stays_once(spark, monkeypatch, broadcast):
     """A clean text on 12 sites isn't boilerplate; a footer of 12 different texts is, also where they were copied."""

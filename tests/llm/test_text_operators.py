@@ -9,6 +9,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import plain
 from metalith.llm import bpe, line_dedup, lz_fingerprint, mixing, near_dup, quality, substrings, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -451,6 +452,19 @@ def test_mixture(documents):
     assert mixed.columns == ["doc_id", "text", "source", "copies"] and mixed.count() == sum(r["copies"] for r in got)
 
 
+@pytest.mark.parametrize("targets", [(0.97, 4.0), (None, 1.5), (0.6, None), (None, None)])
+@pytest.mark.parametrize("budget", [None, 2500.0, 30000.0])
+def test_mixture_matches_plain(documents, monkeypatch, targets, budget):
+    """Each row is taken as often as a plain version says: many blocks, ids that stand twice, nulls, sources without tokens."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 300)
+    r = random.Random(23)
+    rows = [(i if i % 11 else i - 1, "w " * r.randrange(0, 60), r.choice(["a"] * 12 + ["b"] * 4 + ["c", None])) for i in range(400)]
+    rows += [(7, "w " * 20, "a")] * 3 + [(None, "w w w", "b"), (None, None, "none"), (900, "", "none")]
+    got = mixing.copies(documents(rows), budget, *targets).collect()
+    want = plain.copies(rows, *targets, budget=budget, block_tokens=300)
+    assert collections.Counter((x["doc_id"], x["source"], x["n_tokens"], x["copies"]) for x in got) == collections.Counter((d, s, len(WORD.findall(t or "")), n) for (d, t, s), n in zip(rows, want))
+
+
 def test_entropy_target(documents):
     import math
 
