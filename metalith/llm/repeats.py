@@ -1,4 +1,4 @@
-"""Which windows of a corpus also start earlier: the engine of the two substring operators.
+"""Which windows of a corpus also start earlier: what the two substring operators share.
 
 Windows are spans of a fixed number of tokens (13 words, or 100 bytes). The corpus'
 de Bruijn graph has an edge per distinct window; a document is a walk in it. The graph
@@ -15,11 +15,13 @@ all copies of their windows:
 3. Source coordinates (document, run, offset) carry the answers back, where flagged
    windows are united into long spans in the document itself.
 
+``collapse`` is step 1, for both; ``substrings`` goes on with a graph of its own, ``suffix_array`` with the rest of this module.
+
 Skew: a passage in a third of all documents is one (anchor, identity) pair, sent once
 per chunk; its later copies are settled inside the chunk. An anchor with more than
-``HOT`` different paths in a chunk isn't sent path by path: it sends one mark, and
+``hot`` different paths in a chunk isn't sent path by path: it sends one mark, and
 its paths are split into edges, which again collapse per chunk. So no group holds more
-than ``HOT`` rows per chunk, and nothing is dropped.
+than ``hot`` rows per chunk, and nothing is dropped.
 
 Identities are 128 bits (anchor and run hash; two hashes of an edge).
 """
@@ -37,12 +39,10 @@ from pyspark.sql import functions as F
 from metalith.llm.kernels import Runs, U, mix, run_windows, slices, span_hash
 from metalith.llm.shared import lean, settle, shuffle_width
 
-HOT = 64
-CHUNK_RUNS = 500_000
 FULL, SELF, SEND, SPLIT = 0, 1, 2, 3
-#: Output batches: rows of (document, key, kind).
-REPLY = "did long, key long, kind int"
-REPLY_ARROW = pa.schema([("did", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
+#: Output batches: rows of (document, key, kind, a lesser document that has the run, or the document itself).
+REPLY = "did long, key long, kind int, first long"
+REPLY_ARROW = pa.schema([("did", pa.int64()), ("key", pa.int64()), ("kind", pa.int32()), ("first", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,10 @@ class Walks:
     within: bool
     #: sort forks of cold anchors as text
     as_text: bool
+    #: an anchor with more different paths than this in a chunk sends one mark, and its paths are taken apart; the result is the same
+    hot: int = 64
+    #: runs or edges of a chunk
+    chunk: int = 500_000
 
     def runs(self, buf: np.ndarray, offsets: np.ndarray) -> Runs:
         values, second, bounds = self.tokens(buf, offsets)
@@ -123,8 +127,8 @@ def in_parts(rows, limit: int = 16 << 20):
         yield mail(held)
 
 
-def replies(did, key, kind) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(did, pa.int64()), pa.array(key.view(np.int64), pa.int64()), pa.array(kind, pa.int32())], schema=REPLY_ARROW)
+def replies(did, key, kind, first) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(did, pa.int64()), pa.array(key.view(np.int64), pa.int64()), pa.array(kind, pa.int32()), pa.array(first, pa.int64())], schema=REPLY_ARROW)
 
 
 def announce(walks: Walks, buckets: int):
@@ -138,24 +142,24 @@ def announce(walks: Walks, buckets: int):
         key = mix_key(anchor, identity)
         least = did[np.maximum.accumulate(np.where(first, np.arange(len(did)), 0))]
         later = once & (did > least)
-        passed = [(did[later], key[later], np.full(later.sum(), FULL, np.int32))]
+        passed = [(did[later], key[later], np.full(later.sum(), FULL, np.int32), least[later])]
         if walks.within:
             again = ~once
-            passed.append((did[again], key[again], np.full(again.sum(), SELF, np.int32)))
+            passed.append((did[again], key[again], np.full(again.sum(), SELF, np.int32), did[again]))
         anchor, identity, did, key = anchor[first], identity[first], did[first], key[first]
         begin = heads(anchor)
         group = np.cumsum(begin) - 1
-        hot = (np.bincount(group) > HOT)[group] if len(group) else np.zeros(0, bool)
-        passed.append((did[hot], key[hot], np.full(hot.sum(), SPLIT, np.int32)))
+        hot = (np.bincount(group) > walks.hot)[group] if len(group) else np.zeros(0, bool)
+        passed.append((did[hot], key[hot], np.full(hot.sum(), SPLIT, np.int32), did[hot]))
         marks = anchor[hot & begin]
         cold = ~hot
         a = np.concatenate([anchor[cold], marks])
         i = np.concatenate([identity[cold], np.zeros(len(marks), U)])
         d = np.concatenate([did[cold], np.full(len(marks), np.iinfo(np.int64).min)])
         yield from in_parts(by_bucket((a % U(buckets)).astype(np.int32), RUNS_MAIL, a, i, d))
-        d, k, n = (np.concatenate(x) for x in zip(*passed))
+        d, k, n, f = (np.concatenate(x) for x in zip(*passed))
         if len(d):
-            yield from in_parts(by_bucket((k % U(buckets)).astype(np.int32), PASSED, d, k, n))
+            yield from in_parts(by_bucket((k % U(buckets)).astype(np.int32), PASSED, d, k, n, f))
 
     def run(batches):
         held, count = [], 0
@@ -165,7 +169,7 @@ def announce(walks: Walks, buckets: int):
                 r = walks.runs(buf, offsets)
                 held.append((r.anchor, r.identity, did[lo + r.row]))
                 count += len(r.row)
-                if count > CHUNK_RUNS:
+                if count > walks.chunk:
                     yield from settle_chunk(*(np.concatenate(x) for x in zip(*held)))
                     held, count = [], 0
         if count:
@@ -194,8 +198,7 @@ def compact(walks: Walks):
     def run(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_numpy()
         payload = group.column("payload").to_pylist()
-        d, k, n = unpack([p for p, x in zip(payload, kinds) if x == PASSED], np.int64, U, np.int32)
-        out = [replies(d, k, n)]
+        out = [replies(*unpack([p for p, x in zip(payload, kinds) if x == PASSED], np.int64, U, np.int32, np.int64))]
         anchor, identity, did = unpack([p for p, x in zip(payload, kinds) if x == RUNS_MAIL], U, U, np.int64)
         payload = None
         if len(anchor):
@@ -206,13 +209,13 @@ def compact(walks: Walks):
             least = did[np.maximum.accumulate(np.where(first, np.arange(len(did)), 0))]
             key = mix_key(anchor, identity)
             full = ~mark & (did > least) & heads(anchor, identity, did)
-            out.append(replies(did[full], key[full], np.full(full.sum(), FULL, np.int32)))
+            out.append(replies(did[full], key[full], np.full(full.sum(), FULL, np.int32), least[full]))
             group_no = np.cumsum(heads(anchor)) - 1
             paths = np.bincount(group_no, first & ~mark)[group_no]
-            hot = (np.bincount(group_no, mark)[group_no] > 0) | (paths > HOT)
+            hot = (np.bincount(group_no, mark)[group_no] > 0) | (paths > walks.hot)
             fork = first & ~mark & (hot | (paths > 1))
             kind = np.where(hot[fork] | (not walks.as_text), SPLIT, SEND).astype(np.int32)
-            out.append(replies(did[fork], key[fork], kind))
+            out.append(replies(did[fork], key[fork], kind, did[fork]))
         return pa.Table.from_batches(out)
 
     return run
@@ -279,7 +282,7 @@ def fork_out(walks: Walks, buckets: int, texts):
                     end = token + walks.size
                     held.append((span_hash(r.sums, token, end), span_hash(r.sums_2, token, end), did[lo + r.row[of]], texts_of(r)[of] if walks.within else np.zeros(len(of), U), (token - r.start_of_row(of)).astype(np.int64), r.key[of], offset.astype(np.int32)))
                     count += len(no)
-                    if count > CHUNK_RUNS:
+                    if count > walks.chunk:
                         yield from settle_chunk(held)
                         held, count = [], 0
                 send = at[what == SEND]
@@ -383,13 +386,18 @@ def with_did(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def collapse(base: DataFrame, walks: Walks, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What becomes of the runs of (did, doc_id, text): (did, key, kind, first), and per did the list ``asked`` of runs to take apart."""
+    sent = base.select("did", "text").mapInArrow(lean(announce(walks, buckets)), MAIL)
+    first = settle(sent.groupBy("bucket").applyInArrow(compact(walks), REPLY))
+    return first, first.where(F.col("kind") >= SEND).groupBy("did").agg(F.collect_list(F.struct("key", "kind")).alias("asked"))
+
+
 def find_repeats(docs: DataFrame, walks: Walks, texts=None, sort_texts=None) -> tuple[DataFrame, DataFrame]:
     """(did, doc_id, text) and, per did, the list ``found`` of (key, at) for ``finish``."""
     buckets = 4 * shuffle_width(docs.sparkSession)
     base = with_did(docs)
-    sent = base.select("did", "text").mapInArrow(lean(announce(walks, buckets)), MAIL)
-    first = settle(sent.groupBy("bucket").applyInArrow(compact(walks), REPLY))
-    forks = first.where(F.col("kind") >= SEND).groupBy("did").agg(F.collect_list(F.struct("key", "kind")).alias("asked"))
+    first, forks = collapse(base, walks, buckets)
     edges = base.select("did", "text").join(forks.hint("shuffle_hash"), "did").mapInArrow(lean(fork_out(walks, buckets, texts)), MAIL)
     second = settle(edges.groupBy("bucket").applyInArrow(resolve(walks, sort_texts), FLAG))
     found = first.where(F.col("kind") <= SELF).select("did", "key", (-1 - F.col("kind")).cast("int").alias("at")).unionByName(second)

@@ -1,6 +1,7 @@
 """Operators on whole texts against plain versions, with the awkward rows: nulls, empties, ties, repeats."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -115,8 +116,6 @@ def test_suffixes_match_plain(documents):
 def test_hot_anchors_are_exact(documents, monkeypatch, limit):
     from metalith.llm import repeats
 
-    monkeypatch.setattr(repeats, "HOT", limit)
-    monkeypatch.setattr(repeats, "CHUNK_RUNS", 50)
     r = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{r.random()} {passage} {r.random()}") for i in range(80)]
@@ -126,9 +125,10 @@ def test_hot_anchors_are_exact(documents, monkeypatch, limit):
     import pyarrow as pa
 
     batch = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["did", "text"])
+    monkeypatch.setattr(substrings, "walks", lambda *a, make=substrings.walks: dataclasses.replace(make(*a), hot=limit, chunk=50))
+    assert rows_of(substrings.remove_repeats(df)) == plain_words_removed(rows)
     for walks, texts, sort, report, schema, want in (
-        (substrings.walks(), None, None, substrings.report(substrings.walks()), substrings.ARROW, plain_words_removed(rows)),
-        (suffix_array.WALKS, suffix_array.send_texts, suffix_array.sort_texts, suffix_array.report, suffix_array.ARROW, plain_bytes_removed(rows)),
+        (dataclasses.replace(suffix_array.WALKS, hot=limit, chunk=50), suffix_array.send_texts, suffix_array.sort_texts, suffix_array.report, suffix_array.ARROW, plain_bytes_removed(rows)),
     ):
         def groups(batches):
             t = pa.Table.from_batches(list(batches), schema=repeats.MAIL_ARROW)
@@ -156,6 +156,61 @@ def test_hot_anchors_are_exact(documents, monkeypatch, limit):
     assert df.count() == 80
 
 
+def test_paths_of_a_graph(spark):
+    """Nonbranching paths: a line, a fork, a change of the first document, a cycle, a loop and a line behind a fork."""
+    edges = [(f"{a}{b}", a, b, f) for a, b, f in [*[(i, i + 1, 7) for i in range(9)], (20, 21, 1), (21, 22, 1), (21, 23, 1), (23, 24, 1), (24, 25, 2), (40, 41, 3), (41, 40, 3), (50, 50, 3)]]
+    rows = [(i, 0, a, b, f) for i, (_, a, b, f) in enumerate(edges)]
+    got = {(r["e1"], r["head"], r["place"]) for r in substrings.paths(spark.createDataFrame(rows, "e1 long, e2 long, src long, dst long, first long")).collect()}
+    assert len(got) == len(rows)
+    by_head = collections.defaultdict(dict)
+    for e, head, place in got:
+        by_head[head][place] = edges[e][1:3]
+    lines = sorted(tuple(p[k] for k in sorted(p)) for p in by_head.values())
+    assert all(sorted(p) == list(range(len(p))) for p in by_head.values())
+    assert lines == sorted([tuple((i, i + 1) for i in range(9)), ((20, 21),), ((21, 22),), ((21, 23), (23, 24)), ((24, 25),), ((40, 41),), ((41, 40),), ((50, 50),)])
+
+
+def test_hashes_that_collide_remove_nothing(documents, monkeypatch):
+    """With hashes that only know the length of a word, the words themselves still decide: nothing is removed that isn't repeated."""
+
+    def weak(buf, offsets):
+        import numpy as np
+
+        from metalith.llm.kernels import split_words
+
+        starts, ends, bounds = split_words(buf, offsets)
+        return (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), None, bounds
+
+    monkeypatch.setattr(substrings, "walks", lambda *a, make=substrings.walks: dataclasses.replace(make(*a), tokens=weak))
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(60))) for i in range(20)]
+    rows += [(30, rows[3][1]), (31, rows[0][1])]
+    got = rows_of(substrings.remove_repeats(documents(rows)))
+    want = plain_words_removed(rows)
+    assert all(g[2] <= w[2] for g, w in zip(got, want)) and all(g == w for g, w in zip(got, want) if w[2] == 0)
+
+
+def test_words_of_rows_that_share_an_id(documents):
+    """Rows of one id leave each other alone, whatever their texts; a null id is the greatest; parts of a span that lie apart in the source."""
+    r = random.Random(19)
+    a, b, c = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    half = a.split()
+    apart = " ".join(half[:40]) + " x y z " + " ".join(half[28:])
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, a + " " + b), (4, apart), (5, a)]
+    windows = collections.defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 12):
+            windows[tuple(w[i : i + 13])].add(2**63 if d is None else d)
+    want = collections.Counter()
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if min(windows[tuple(w[i : i + 13])]) < (2**63 if d is None else d) for j in range(i, i + 13)}
+        want[d, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
+    assert collections.Counter(map(tuple, substrings.remove_repeats(documents(rows)).collect())) == want
+
+
 def plain_bytes_of_rows(rows, window=100):
     """A row loses what starts earlier in it or in a row of a lesser id; no id is the greatest."""
     windows = [{t[i : i + window] for i in range(len(t) - window + 1)} for _, t in rows]
@@ -175,9 +230,7 @@ def plain_bytes_of_rows(rows, window=100):
 @pytest.mark.parametrize("limit", [1, 64])
 def test_rows_of_one_id_leave_each_other_alone(limit, monkeypatch):
     """Two equal rows and a document that shares half of them; rows without an id that share a passage at other places; a text that repeats itself beside one that doesn't."""
-    from metalith.llm import repeats
-
-    monkeypatch.setattr(repeats, "HOT", limit)
+    monkeypatch.setattr(suffix_array, "WALKS", dataclasses.replace(suffix_array.WALKS, hot=limit))
     r = random.Random(21)
     a, b, c, d, e, f = ("".join(r.choice("abcdefghij ") for _ in range(400)) for _ in range(6))
     rows = [(1, a), (1, a), (2, "x" * 30 + a[100:300] + b[:50]), (5, c[:200] + d), (None, b), (None, b), (None, e[:77] + c[150:] + d[:130]), (None, f[:31] + e[:77] + c[150:] + f[40:90])]
