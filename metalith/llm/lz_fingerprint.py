@@ -16,7 +16,7 @@ first two thirds, and so does their parse.
 
 Defined cases: a null text is empty, and an empty text has the fingerprint of the empty
 set, which is alike (1.0) only to itself; a null doc_id comes last in the order; rows
-that share a doc_id are ordered by text; a single document is its own successor; an
+that share a doc_id are ordered by a hash of the text, and dealt by it, so that no id is one task; a single document is its own successor; an
 empty table gives no rows; texts are read whole.
 """
 
@@ -110,18 +110,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero(a == b)) / SLOTS
 
 
-DEALT = "bucket int, last int, did long, doc_id long, body binary"
-DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("last", pa.int32()), ("did", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
+DEALT = "bucket int, last int, did long, tie long, doc_id long, body binary"
+DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("last", pa.int32()), ("did", pa.int64()), ("tie", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
 LOWEST = -(2**63)
 
 
-def bucket_of(did: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Bucket 0 has the greatest ids."""
-    return (len(edges) - np.searchsorted(edges, did, "left")).astype(np.int32)
+def bucket_of(did: np.ndarray, tie: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bucket 0 has the greatest ids. An id that stands several times among the sorted edges has that many buckets, by ranges of its rows' ties."""
+    low, high = (np.searchsorted(edges, did, side) for side in ("left", "right"))
+    part = ((tie.astype(np.float64) + 2.0**63) / 2.0**64 * np.maximum(high - low, 1)).astype(np.int64)
+    return (len(edges) - low - np.clip(part, 0, np.maximum(high - low - 1, 0))).astype(np.int32)
 
 
 def deal(edges: list, firsts: dict):
-    """Rows to their buckets, compressed; the first ids of a bucket go to the bucket before as well."""
+    """Rows to their buckets, compressed; the first row of a bucket goes to the bucket before as well."""
 
     def run(batches):
         import zstandard
@@ -129,15 +131,15 @@ def deal(edges: list, firsts: dict):
         pack = zstandard.ZstdCompressor(level=1).compress
         cut = np.array(edges, np.int64)
         for batch in batches:
-            did = batch.column("did").to_numpy(zero_copy_only=False)
-            bucket = bucket_of(did, cut)
+            did, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "tie"))
+            bucket = bucket_of(did, tie, cut)
             body = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            extra = [i for i, d in enumerate(did.tolist()) if d in firsts]
+            extra = [i for i, at in enumerate(zip(did.tolist(), tie.tolist())) if at in firsts]
             rows = np.append(np.arange(len(did)), np.array(extra, np.int64))
-            to = np.append(bucket, np.array([firsts[int(did[i])] for i in extra], np.int32))
+            to = np.append(bucket, np.array([firsts[int(did[i]), int(tie[i])] for i in extra], np.int32))
             last = np.append(np.zeros(len(did), np.int32), np.ones(len(extra), np.int32))
             ids = batch.column("doc_id").take(pa.array(rows))
-            yield pa.record_batch([pa.array(to, pa.int32()), pa.array(last), pa.array(did[rows]), ids, pa.array([body[i] for i in rows.tolist()], pa.binary())], schema=DEALT_ARROW)
+            yield pa.record_batch([pa.array(to, pa.int32()), pa.array(last), pa.array(did[rows]), pa.array(tie[rows]), ids, pa.array([body[i] for i in rows.tolist()], pa.binary())], schema=DEALT_ARROW)
 
     return run
 
@@ -161,7 +163,7 @@ def stream(batches):
             waiting = None
 
     for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)))
+        rows = zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)))
         for bucket, last, doc_id, body in rows:
             if held is None or held[0] != bucket:
                 held = waiting = None
@@ -189,25 +191,27 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: fingerprints of its text and of its edited text, and their likeness (see the module)."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = base.select("did")
+    text = F.col("text").cast("string")
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     steps = 4 * width
-    edges = ids.agg(F.percentile_approx("did", [i / steps for i in range(1, steps)], 100 * steps).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
+    edges = base.agg(F.percentile_approx("did", [i / steps for i in range(1, steps)], 100 * steps).alias("e")).first()["e"]
+    edges = sorted(edges or [])
     cut = np.array(edges, np.int64)
 
     def tops(batches):
         best: dict = {}
         for batch in batches:
-            did = batch.column("did").to_numpy()
-            bucket = bucket_of(did, cut)
-            for b in np.unique(bucket).tolist():
-                best[b] = max(best.get(b, LOWEST), int(did[bucket == b].max()))
+            did, tie = (batch.column(c).to_numpy() for c in ("did", "tie"))
+            bucket = bucket_of(did, tie, cut)
+            order = np.lexsort((tie, did, bucket))
+            ends = order[np.append(np.flatnonzero(np.diff(bucket[order])), len(order) - 1)] if len(order) else order
+            for b, d, t in zip(bucket[ends].tolist(), did[ends].tolist(), tie[ends].tolist()):
+                best[b] = max(best.get(b, (LOWEST, LOWEST)), (d, t))
         if best:
-            yield pa.record_batch([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["bucket", "top"])
+            yield pa.record_batch([pa.array(list(best), pa.int32()), *(pa.array([x[k] for x in best.values()], pa.int64()) for k in (0, 1))], names=["bucket", "did", "tie"])
 
     # a row per range: bounded by the number of ranges
-    ranges = ids.mapInArrow(lean(tops), "bucket int, top long").groupBy("bucket").agg(F.max("top").alias("top")).orderBy("bucket").collect()
-    firsts = {r["top"]: ranges[i - 1]["bucket"] for i, r in enumerate(ranges)}
-    dealt = base.mapInArrow(lean(deal(edges, firsts)), DEALT).repartition(width, "bucket").sortWithinPartitions("bucket", "last", F.col("did").desc(), "body")
+    ranges = base.select("did", "tie").mapInArrow(lean(tops), "bucket int, did long, tie long").groupBy("bucket").agg(F.max(F.struct("did", "tie")).alias("top")).orderBy("bucket").collect()
+    firsts = {(r["top"]["did"], r["top"]["tie"]): ranges[i - 1]["bucket"] for i, r in enumerate(ranges)}
+    dealt = base.mapInArrow(lean(deal(edges, firsts)), DEALT).repartition(width, "bucket").sortWithinPartitions("bucket", "last", F.col("did").desc(), F.col("tie").desc(), "body")
     return dealt.mapInArrow(lean(stream), DDL)

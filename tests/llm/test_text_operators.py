@@ -423,6 +423,20 @@ def test_lz_parse_and_fingerprints(documents):
     assert rows_of(lz_fingerprint.fingerprint_edits(documents([(5, "abc")])).select("near_next")) == [(1.0,)]
 
 
+def test_lz_of_rows_that_share_an_id(documents):
+    """Most rows have no id, or one id: they are dealt over several ranges, and each still meets its successor."""
+    r = random.Random(27)
+    rows = [(None, " ".join(r.choice("abcd") * r.randrange(1, 9) for _ in range(r.randrange(2, 30)))) for _ in range(60)] + [(5, f"five {i} " * 4) for i in range(40)] + [(9, "nine"), (1, "one"), (5, None), (None, "")]
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], plain.chained(x[1] or "")), reverse=True)
+    want = collections.Counter()
+    for i, (d, t) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        want[d, len(t), sha(edited), lz_fingerprint.likeness(lz_fingerprint.fingerprint(t), lz_fingerprint.fingerprint(after))] += 1
+    got = lz_fingerprint.fingerprint_edits(documents(rows))
+    assert collections.Counter((x["doc_id"], x["n_chars"], x["edited_sha256"], x["near_next"]) for x in got.collect()) == want
+
+
 def plain_quality(t):
     t = t or ""
     w = WORD.findall(t)
