@@ -21,6 +21,11 @@ class Relations:
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = derived.raw(spark, sf_dir)
 
+    def once(self) -> Relations:
+        """The same with the narrow part of raw written once, for queries that meet it several times; layouts and objects aren't in it."""
+        self.raw = paths.settle(self.raw.drop("comps"))
+        return self
+
     def table(self, name: str) -> DataFrame:
         return derived.table(self.spark, self.sf_dir, name)
 
@@ -42,7 +47,7 @@ class Relations:
 
     @property
     def dirents(self) -> DataFrame:
-        return derived.dirents(self.spark, self.sf_dir)
+        return derived.dirents(self.spark, self.sf_dir, self.raw)
 
     @property
     def dirstripe(self) -> DataFrame:
@@ -120,16 +125,16 @@ query("join_object_layout", "SELECT o.fid, o.comp_index, o.ost_idx, y.pool FROM
     lambda r: fused.object_layouts(r.objects, r.layouts).select("fid", "comp_index", "ost_idx", "pool")
 )
 query("join_link_dirstripe", "SELECT l.fid, l.name, d.dir_fid, d.stripe_index FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid")(
-    lambda r: fused.link_dirstripe(r.links, r.dirstripe).select("fid", "name", "dir_fid", "stripe_index")
+    lambda r: fused.link_dirstripe(r.once().links, r.dirstripe).select("fid", "name", "dir_fid", "stripe_index")
 )
 query("join_inode_dirstripe", "SELECT i.fid, i.uid, d.parent_fid, d.source FROM inodes i JOIN dirstripe d ON i.fid = d.dir_fid")(
-    lambda r: fused.inode_dirstripe(r.inodes, r.dirstripe).select("fid", "uid", "parent_fid", "source")
+    lambda r: fused.inode_dirstripe(r.once().inodes, r.dirstripe).select("fid", "uid", "parent_fid", "source")
 )
 query("join_link_dirstripe_inode", "SELECT l.fid, l.name, d.dir_fid, i.uid AS dir_uid, i.size AS dir_size FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid JOIN inodes i ON i.fid = d.dir_fid")(
-    lambda r: fused.link_inode_dirstripe(r.links, r.dirstripe, r.inodes).select("fid", "name", "dir_fid", "dir_uid", "dir_size")
+    lambda r: fused.link_inode_dirstripe(r.once().links, r.dirstripe, r.inodes).select("fid", "name", "dir_fid", "dir_uid", "dir_size")
 )
 query("logical_dir_entry_count", "SELECT d.dir_fid, count(*) AS entry_count FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid JOIN inodes i ON i.fid = d.dir_fid WHERE i.type = 'dir' GROUP BY d.dir_fid")(
-    lambda r: fused.entry_counts(r.links, r.dirstripe, r.inodes).select("dir_fid", F.col("entry_count").cast("bigint").alias("entry_count"))
+    lambda r: fused.entry_counts(r.once().links, r.dirstripe, r.inodes).select("dir_fid", F.col("entry_count").cast("bigint").alias("entry_count"))
 )
 
 # Directory stripes
@@ -147,7 +152,7 @@ query(
 
 # Paths
 
-query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.raw))
+query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.once().raw))
 query("fid2path_multi_link", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE ord = 1) GROUP BY fid", recursive=True)(
     lambda r: paths.fid2path(r.raw, r.raw.where((F.size("links") > 1) & F.col("fid").isNotNull()).select("fid").distinct()).where("paths IS NOT NULL")
 )

@@ -95,11 +95,11 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).unionByName(directories(spark, sf_dir))
 
 
-def dirents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(parent_fid, name, fid, device): entries of directories, those of striped ones naming all four shards."""
+def dirents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """(parent_fid, name, fid, device): entries of directories, those of striped ones naming all four shards; from ``rows`` of raw, if they are there already."""
     from metalith.operators import relations
 
-    links = relations.links(raw(spark, sf_dir)).select("parent_fid", "name", "fid", "device").where("name NOT LIKE '[%'")
+    links = relations.links(raw(spark, sf_dir) if rows is None else rows).select("parent_fid", "name", "fid", "device").where("name NOT LIKE '[%'")
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("i"))
     shard = SHARD.format("o_orderkey * 4 + i")
     return links.unionByName(orders.selectExpr(f"{DIR.format('o_orderkey + 1')} AS parent_fid", f"{shard} || ':' || i AS name", f"{shard} AS fid", "'mdt' || o_orderkey % 4 AS device"))
