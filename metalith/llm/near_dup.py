@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,27 +155,6 @@ def bands(batches):
         yield pa.record_batch([pa.array(value.ravel().view(np.int64)), pa.array(np.repeat(did, REGISTERS // BAND))], names=["band", "did"])
 
 
-def likely(batches):
-    """Pairs with both sketches to those worth verifying, with the estimate."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS) for c in ("sketch_a", "sketch_b"))
-        na, nb = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-        keep = np.zeros(len(a), bool)
-        est = np.zeros(len(a))
-        for lo in range(0, len(a), 4096):
-            est[lo : lo + 4096] = estimate(a[lo : lo + 4096], b[lo : lo + 4096], na[lo : lo + 4096], nb[lo : lo + 4096])
-        keep = est >= ESTIMATE_FLOOR
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(est)], names=["a", "b", "est"]).filter(pa.array(keep))
-
-
-def with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with an estimate that is high enough."""
-    left = classes.select(F.col("did").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    right = classes.select(F.col("did").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    sized = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return pairs.join(left, "a").join(right, "b").where(sized).mapInArrow(lean(likely), "a long, b long, est double")
-
-
 def sets(batches):
     """Whole texts to the digests of their sets and the sorted shingle hashes, as 8-byte numbers."""
     for batch in batches:
@@ -185,22 +165,27 @@ def sets(batches):
             yield pa.record_batch([pa.array(np.diff(bounds), pa.int64()), *map(pa.array, digests(h, bounds)), pa.array(members, pa.binary())], names=["n_shingles", "d1", "d2", "members"])
 
 
-def confirm(batches):
-    """Pairs with both full sets to the links among them."""
+def near_pairs(batches):
+    """Pairs with both sketches and full sets to the links among them: the similarity of each is estimated from the sketches, and where it can reach the threshold the sets decide."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist()):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, REGISTERS) for c in ("sketch_a", "sketch_b"))
+        x, y = batch.column("members_a"), batch.column("members_b")
+        na, nb = (pa.compute.binary_length(c).to_numpy(zero_copy_only=False) // 8 for c in (x, y))
+        keep = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        for lo in range(0, len(a), 4096):
+            some = lo + np.flatnonzero(keep[lo : lo + 4096])
+            keep[some] = estimate(a[some], b[some], na[some].astype(float), nb[some].astype(float)) >= ESTIMATE_FLOOR
+        for i in np.flatnonzero(keep):
+            p, q = (np.frombuffer(c[i].as_buffer(), U) for c in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep[i] = 100 * both >= PERCENT * (len(p) + len(q) - both)
+        yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near: estimated from the sketches, then verified on full sets."""
-    estimated = settle(with_sketches(pairs.select("a", "b"), classes).select("a", "b"))
-    joined = estimated.join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
-    return settle(joined.mapInArrow(lean(confirm), "a long, b long"))
+def confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near: estimated from the sketches, then verified on full sets, where both meet."""
+    left, right = members.toDF("a", "sketch_a", "members_a"), members.toDF("b", "sketch_b", "members_b")
+    return settle(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(lean(near_pairs), "a long, b long"))
 
 
 def own_shingles(batches):
@@ -235,13 +220,12 @@ def torn(shared: DataFrame, found: DataFrame, sizes: DataFrame | None = None) ->
 
 
 def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """(did, component) for every document in a link: the least id reachable.
+    """(did, component) for every class in a link: the least number reachable.
 
     Alternates large-star and small-star steps, each an aggregate over neighbours, until
-    nothing changes; every step is written to the shared folder."""
+    every class points at one that points nowhere; every step is written to the shared folder."""
     edges = links if before is None else links.unionByName(before.where("did <> component").select(F.col("did").alias("a"), F.col("component").alias("b")))
-    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         # large star: greater neighbours move to the least of a node's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -251,10 +235,10 @@ def components(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = settle(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        ends = edges.select("a", "b", F.lit(False).alias("root")).unionByName(edges.select(F.col("b").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(True).alias("root")))
+        open_ = ends.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("root").alias("root")).where("low <> high OR root AND low IS NOT NULL")
+        if open_.isEmpty():
             return edges.select(F.col("a").alias("did"), F.col("b").alias("component"))
-        mark = now
 
 
 def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -265,7 +249,7 @@ def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
     so a pair is met at a shingle only where that bound allows it, and none is lost. Per shingle
     the commonest component isn't paired with itself: the rows of the others meet all rows,
     after those were left out that no row of the shingle, however small its set, can match."""
-    each = members.join(docs, "did", "left_semi").mapInArrow(lean(own_shingles), "shingle long, did long")
+    each = members.select("did", "members").join(docs, "did", "left_semi").mapInArrow(lean(own_shingles), "shingle long, did long")
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     placed = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("did").orderBy("df", "shingle")) - 1)
     left = F.col("n") - F.col("place")
@@ -282,7 +266,7 @@ def sharing_rare(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def with_sizes(dids: DataFrame, members: DataFrame) -> DataFrame:
     """(did, n, c): shingles of each of these documents, and how many of them another one has too. Shingles are counted by partial aggregation."""
-    some = members.join(dids, "did", "left_semi")
+    some = members.select("did", "members").join(dids, "did", "left_semi")
     lone = some.mapInArrow(lean(own_shingles), "shingle long, did long").groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("did").alias("did")).where("k = 1").groupBy("did").agg(F.count(F.lit(1)).alias("own"))
     n = (F.length("members") / 8).cast("long")
     return settle(some.select("did", n.alias("n")).join(lone, "did", "left").select("did", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c")))
@@ -305,12 +289,12 @@ def labelled_rows(docs: DataFrame, rid: str | None = None) -> DataFrame:
     shared = settle(dealt.join(centres, "band").select("band", "did", "centre"))
     stars = shared.where("did <> centre").groupBy(F.col("did").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tried = settle(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
-    near = settle(classes.join(shared.select("did").distinct(), "did", "left_semi").select(*by_set, "least", "did"))
+    near = settle(classes.join(shared.select("did").distinct(), "did", "left_semi").select(*by_set, "least", "did", "sketch"))
     texts = base.select("did", "text").join(near.select(F.col("least").alias("did")).distinct().hint("shuffle_hash"), "did", "left_semi")
-    members = texts.mapInArrow(lean(sets), MEMBERS).join(near.hint("shuffle_hash"), by_set).select("did", "members")
-    members = settle(members.groupBy("did").agg(F.any_value("members").alias("members")))
+    members = texts.mapInArrow(lean(sets), MEMBERS).dropDuplicates(by_set).join(near.hint("shuffle_hash"), by_set)
+    members = settle(members.select("did", "sketch", "members"))
     shared = shared.select("band", "did")
-    found = components(confirmed(tried, classes, members))
+    found = components(confirmed(tried, members))
     sizes = with_sizes(torn(shared, found).select("did").distinct(), members)
     for _ in range(STAR_ROUNDS):
         rest = settle(torn(shared, found, sizes))
@@ -321,14 +305,14 @@ def labelled_rows(docs: DataFrame, rid: str | None = None) -> DataFrame:
         rays = rays.select(F.greatest("did", "o.did").alias("a"), F.least("did", "o.did").alias("b"), F.col("did").alias("x")).groupBy("x", "a", "b").agg(F.count(F.lit(1)).alias("n"))
         rays = rays.join(tried, ["a", "b"], "left_anti").groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         rays = settle(rays)
-        tried = settle(tried.unionByName(rays))
-        found = components(confirmed(rays, classes, members), found)
+        tried = tried.unionByName(rays)
+        found = components(confirmed(rays, members), found)
     rest = torn(shared, found, sizes).select("did", "component", "n").distinct()
     across = settle(sharing_rare(settle(rest), members).join(tried, ["a", "b"], "left_anti"))
-    found = components(confirmed(across, classes, members), found)
+    found = components(confirmed(across, members), found)
     numbered = classes.select(*by_set, "did", "least").join(found, "did", "left").select(*by_set, "least", F.coalesce("component", "did").alias("group"))
     least = numbered.groupBy("group").agg(F.min("least").alias("component"))
-    named = settle(numbered.drop("least").join(least, "group"))
+    named = numbered.drop("least").join(least, "group")
     return sketched.drop("sketch").join(named, by_set, "left").select("rid", "did", "doc_id", "n_shingles", F.coalesce("component", "did").alias("component"), "group")
 
 
