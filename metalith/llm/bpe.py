@@ -19,7 +19,7 @@ are contracted by the same query; where they don't stay as they are, the tokens
 as one word, and the seams that this makes are looked at in turn.
 
 Memory: a batch of words is bounded by the sum of their squared lengths, which bounds the rows of all steps; pieces are
-remembered per worker up to ``REMEMBERED``; texts are taken ``CHUNK_CHARS`` at a time, or one longer text; a long
+remembered per worker in two generations of ``REMEMBERED`` each, of which the older one is dropped but for the pieces that are met again; texts are taken ``CHUNK_CHARS`` at a time, or one longer text; a long
 sequence of ids is decoded in parts.
 
 Defined cases: a null text is empty, and an empty text has no tokens; special tokens are
@@ -86,6 +86,7 @@ class Coder:
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.seams: dict[tuple[int, int], bool] = {}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -177,8 +178,11 @@ class Coder:
             pieces = [self.split(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
             distinct = set().union(*pieces)
             if len(self.seen) > REMEMBERED:
-                self.seen = {p: self.seen[p] for p in distinct if p in self.seen}
-            self.learn(distinct.difference(self.seen))
+                self.seen, self.older = {}, self.seen
+            new = distinct.difference(self.seen)
+            again = new.intersection(self.older)
+            self.seen.update((p, self.older[p]) for p in again)
+            self.learn(new - again)
             get = self.seen.__getitem__
             out += [b"".join(map(get, p)) for p in pieces]
         return out

@@ -609,7 +609,8 @@ def test_bpe_edges(spark, documents, vocabulary, monkeypatch):
     tokens = spark.createDataFrame([(1, None), (2, []), (3, encoded.where("doc_id = 1").first()["ids"])], "doc_id long, ids array<int>")
     assert [bytes(x["text"]) for x in tokenizer.decode(tokens).orderBy("doc_id").collect()] == [b"", b"", b"same text"]
     with open(vocabulary[0], "rb") as f:
-        coder = bpe.Coder(f.read(), vocabulary[1])
+        coder_file = f.read()
+    coder = bpe.Coder(coder_file, vocabulary[1])
     known = encoded.where("doc_id = 1").first()["ids"][0]
     for bad in ([known, 2**31 - 1], [2**31 - 1], [known, None]):
         with pytest.raises(ValueError):
@@ -617,7 +618,12 @@ def test_bpe_edges(spark, documents, vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "DECODE_TOKENS", 3)
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
     texts = [t or "" for _, t in some_docs(13, 10)]
-    assert [x.decode() for x in coder.decode(coder.encode(pa.array(texts)))] == texts
+    ids = coder.encode(pa.array(texts))
+    assert [x.decode() for x in coder.decode(ids)] == texts
+    # pieces that are forgotten, kept from the older generation or learnt anew have the same ids
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    forgetful = bpe.Coder(coder_file, vocabulary[1])
+    assert forgetful.encode(pa.array(texts)) == ids == forgetful.encode(pa.array(texts))
 
 
 EMPTY = [
