@@ -24,6 +24,7 @@ RAW = (
     "device string, ord int, ino bigint, mode bigint, nlink bigint, uid bigint, gid bigint, size bigint, blocks bigint, atime timestamp, mtime timestamp, ctime timestamp, "
     f"projid bigint, flags bigint, fid string, incompat bigint, links array<struct<parent_fid:string,name:string>>, comps array<{COMPONENT}>, lmv {LMV}"
 )
+LINKED = "array<struct<parent_fid:string,name:string>>"
 INODE_COLUMNS = ["fid", "ino", "type", "mode", "nlink", "uid", "gid", "size", "blocks", "atime", "mtime", "ctime", "projid", "flags", "device"]
 #: Schemas of the relations.
 INODES = (
@@ -65,6 +66,11 @@ def on_devices(raw: DataFrame, devices: str | list[str] | None) -> DataFrame:
     return raw.where(F.col("device").isin(names))
 
 
+def each(column: str, of: str):
+    """The array to explode. Of a bare column Catalyst infers filters (not null, not empty), which below a projection evaluate all that makes the array again, once a filter."""
+    return F.coalesce(F.col(column), F.array().cast(of))
+
+
 def inodes(raw: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = True) -> DataFrame:
     """A row per inode; times of 0 are null in raw already."""
     return selected(on_devices(raw, devices), skip_no_fid, skip_no_linkea).withColumn("type", type_from_mode(F.col("mode"))).select(*INODE_COLUMNS)
@@ -72,21 +78,21 @@ def inodes(raw: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linke
 
 def links(raw: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = True) -> DataFrame:
     """A row per hard link; none for an inode with an empty list, whatever the flags."""
-    return selected(on_devices(raw, devices), skip_no_fid, skip_no_linkea).select("fid", F.explode("links").alias("l"), "device").select("fid", "l.parent_fid", "l.name", "device")
+    return selected(on_devices(raw, devices), skip_no_fid, False).select("fid", F.explode(each("links", LINKED)).alias("l"), "device").select("fid", "l.parent_fid", "l.name", "device")
 
 
 def layouts(raw: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = True) -> DataFrame:
     """A row per layout component. Links don't matter here; an invalid identifier is printed as zeros."""
-    rows = selected(on_devices(raw, devices), skip_no_fid, False).select(F.coalesce("fid", F.lit(NONE)).alias("fid"), F.explode("comps").alias("c"), "device")
+    rows = selected(on_devices(raw, devices), skip_no_fid, False).select(F.coalesce("fid", F.lit(NONE)).alias("fid"), F.explode(each("comps", f"array<{COMPONENT}>")).alias("c"), "device")
     return rows.select("fid", *[F.col(f"c.{x}").alias(x) for x in LAYOUT_FIELDS], "device")
 
 
 def objects(raw: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = True) -> DataFrame:
     """A row per stripe of the components that have their objects (no flags, or instantiated)."""
-    rows = selected(on_devices(raw, devices), skip_no_fid, False).select(F.coalesce("fid", F.lit(NONE)).alias("fid"), F.explode("comps").alias("c"), "device")
+    rows = selected(on_devices(raw, devices), skip_no_fid, False).select(F.coalesce("fid", F.lit(NONE)).alias("fid"), F.explode(each("comps", f"array<{COMPONENT}>")).alias("c"), "device")
     ready = rows.where((F.col("c.stripe_count") > 0) & ((F.col("c.comp_flags") == 0) | (F.col("c.comp_flags").bitwiseAND(F.lit(INIT)) != 0)))
-    each = ready.select("fid", "c.comp_index", F.posexplode("c.objects").alias("stripe_index", "o"), "device")
-    return each.select("fid", "comp_index", F.col("stripe_index").cast("bigint").alias("stripe_index"), "o.ost_idx", "o.ost_oi_id", "o.ost_oi_seq", "device")
+    stripes = ready.select("fid", "c.comp_index", F.posexplode(each("c.objects", f"array<{OBJECT}>")).alias("stripe_index", "o"), "device")
+    return stripes.select("fid", "comp_index", F.col("stripe_index").cast("bigint").alias("stripe_index"), "o.ost_idx", "o.ost_oi_id", "o.ost_oi_seq", "device")
 
 
 def oi(raw: DataFrame) -> DataFrame:

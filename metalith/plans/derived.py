@@ -32,13 +32,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = f"CASE WHEN l_orderkey % 10 = 0 THEN {SHARD.format('l_orderkey * 4 + l_partkey % 4')} ELSE {DIR.format('l_orderkey + 1')} END"
     first = f"named_struct('parent_fid', {parent}, 'name', 'L' || l_linenumber || '_' || l_partkey || '_' || l_suppkey)"
     second = f"named_struct('parent_fid', {OUTSIDE.format('l_suppkey + 1')}, 'name', 'H' || l_orderkey || '_' || l_partkey)"
-    comp = (
-        "named_struct('comp_index', i, 'comp_id', i + 1, 'mirror_id', CAST(0 AS INT), 'comp_flags', CASE WHEN i = 2 THEN 1L ELSE 16L END, "
-        "'extent_start', CAST(i * 1048576 AS DECIMAL(20,0)), 'extent_end', CASE WHEN i = l_partkey % 3 THEN CAST(18446744073709551615 AS DECIMAL(20,0)) ELSE CAST((i + 1) * 1048576 AS DECIMAL(20,0)) END, "
-        "'pattern', 1L, 'stripe_size', 1048576L, 'stripe_count', CAST(1 + (l_suppkey + i) % 4 AS INT), 'stripe_offset', CAST((i * 7) % 16 AS INT), "
-        "'pool', CASE WHEN i = 0 THEN NULL ELSE 'pool' || (l_suppkey % 3) END, 'dstripe_count', CAST(0 AS SMALLINT), 'cstripe_count', CAST(0 AS SMALLINT), 'compr_type', CAST(0 AS SMALLINT), 'compr_lvl', CAST(0 AS SMALLINT), "
-        "'objects', transform(sequence(0L, (l_suppkey + i) % 4), s -> named_struct('ost_idx', (i * 7 + s) % 16, 'ost_oi_id', CAST(l_orderkey * 64 + i * 8 + s AS DECIMAL(20,0)), 'ost_oi_seq', CAST(0 AS DECIMAL(20,0)))))"
-    )
+    # slices of all that there may be: unlike a lambda, this is compiled; made only where needed, it would pass the 8000 bytes up to which the JVM compiles a method
+    def objects(i: int) -> str:
+        each = ", ".join(f"named_struct('ost_idx', {(i * 7 + s) % 16}L, 'ost_oi_id', CAST(l_orderkey * 64 + {i * 8 + s} AS DECIMAL(20,0)), 'ost_oi_seq', CAST(0 AS DECIMAL(20,0)))" for s in range(4))
+        return f"slice(array({each}), 1, CAST((l_suppkey + {i}) % 4 + 1 AS INT))"
+
+    def component(i: int) -> str:
+        return (
+            f"named_struct('comp_index', {i}L, 'comp_id', {i + 1}L, 'mirror_id', 0, 'comp_flags', {1 if i == 2 else 16}L, "
+            f"'extent_start', CAST({i * 1048576} AS DECIMAL(20,0)), 'extent_end', CASE WHEN l_partkey % 3 = {i} THEN CAST(18446744073709551615 AS DECIMAL(20,0)) ELSE CAST({(i + 1) * 1048576} AS DECIMAL(20,0)) END, "
+            f"'pattern', 1L, 'stripe_size', 1048576L, 'stripe_count', CAST(1 + (l_suppkey + {i}) % 4 AS INT), 'stripe_offset', {(i * 7) % 16}, "
+            f"'pool', {'CAST(NULL AS STRING)' if i == 0 else chr(39) + 'pool' + chr(39) + ' || (l_suppkey % 3)'}, 'dstripe_count', CAST(0 AS SMALLINT), 'cstripe_count', CAST(0 AS SMALLINT), 'compr_type', CAST(0 AS SMALLINT), 'compr_lvl', CAST(0 AS SMALLINT), "
+            f"'objects', {objects(i)})"
+        )
+
     return items.selectExpr(
         "'mdt' || l_orderkey % 4 AS device",
         "CAST(l_orderkey % 4 AS INT) AS ord",
@@ -57,7 +64,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN l_partkey % 97 <> 0 THEN '[0x' || lower(hex({SEQ_BASE} + l_orderkey)) || ':0x' || lower(hex(l_partkey * 8 + l_linenumber)) || ':0x' || lower(hex(l_suppkey)) || ']' END AS fid",
         "0L AS incompat",
         f"CASE WHEN l_partkey % 89 = 0 THEN CAST(NULL AS ARRAY<{LINK}>) WHEN l_linenumber = 1 THEN array({first}, {second}) ELSE array({first}) END AS links",
-        f"CAST(transform(sequence(0L, l_partkey % 3), i -> {comp}) AS ARRAY<{COMPONENT}>) AS comps",
+        f"CAST(slice(array({', '.join(component(i) for i in range(3))}), 1, CAST(l_partkey % 3 + 1 AS INT)) AS ARRAY<{COMPONENT}>) AS comps",
         f"CAST(NULL AS {LMV}) AS lmv",
     )
 

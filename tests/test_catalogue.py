@@ -45,3 +45,10 @@ def test_same_as_sql(spark, tiny, name):
     assert sorted(sql.columns) == columns
     want = sorted((tuple(plain(x) for x in r) for r in sql.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=str)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["scan_links", "scan_layouts", "scan_objects"])
+def test_arrays_are_made_once(spark, tiny, name):
+    """No filter is inferred from an explode: below the projection it would make links and components again, and components are compiled, not interpreted."""
+    plan = catalogue.QUERIES[name](spark, tiny[0])._jdf.queryExecution().executedPlan().toString()
+    assert "size(" not in plan and "transform(" not in plan
