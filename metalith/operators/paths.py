@@ -11,11 +11,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metalith.functions.fid import ROOT, TYPE_MASK
 from metalith.operators.dirstripe import shard_parent
+from metalith.operators.relations import LINKED, each, has_links
 
 ROUNDS = 12
 
@@ -38,6 +39,36 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many repeated identifiers are sorted out apart from the rest.
+FEW = 100_000
+
+
+def on_first_device(inodes: DataFrame) -> DataFrame:
+    """``inodes`` (fid, ord, …) with one row an identifier, that of the least ord; ``linked``, if there is such a column, is true if it was on any.
+
+    Only rows that share a 64-bit hash of their identifier with another are sorted; to find them, the hashes alone are dealt out."""
+    key = F.xxhash64("fid")
+    # sorted, since a hash table of all takes three times the memory and can't spill
+    again = F.lag("h").over(Window.partitionBy("h").orderBy("h"))
+    repeated = settle(inodes.select(key.alias("h")).withColumn("again", again).where("again IS NOT NULL").select("h").distinct())
+    n = repeated.count()
+    if n == 0:
+        return inodes
+    columns = inodes.columns
+
+    def first(rows: DataFrame) -> DataFrame:
+        same = Window.partitionBy(key, "fid")
+        ranked = rows.withColumn("rank", F.row_number().over(same.orderBy("ord")))
+        if "linked" in columns:
+            ranked = ranked.withColumn("linked", F.max("linked").over(same))
+        return ranked.where("rank = 1").select(columns)
+
+    if n > FEW:
+        return first(inodes)
+    keyed, few = inodes.withColumn("h", key), F.broadcast(repeated)
+    return keyed.join(few, "h", "left_anti").select(columns).unionByName(first(keyed.join(few, "h", "left_semi").select(columns)))
+
+
 def directory_edges(raw: DataFrame) -> DataFrame:
     """(fid, parent_fid, step) of each directory; a shard is passed through without a name, an ambiguous directory has no edge."""
     dirs = raw.where((F.col("mode").bitwiseAND(F.lit(TYPE_MASK)) == 0x4000) & F.col("fid").isNotNull() & (F.col("fid") != ROOT))
@@ -47,8 +78,7 @@ def directory_edges(raw: DataFrame) -> DataFrame:
     up = F.when(slave, shard_parent(F.col("fid"), F.col("links"), F.col("lmv.mdt_index"))).otherwise(only["parent_fid"])
     step = F.when(slave, F.lit("")).otherwise(F.concat(F.lit("/"), only["name"]))
     edges = dirs.select("fid", "ord", up.alias("parent_fid"), step.alias("step")).where(F.col("parent_fid").isNotNull())
-    # an identifier on several devices is read on the first
-    return edges.groupBy("fid").agg(F.min_by(F.struct("parent_fid", "step"), "ord").alias("e")).select("fid", "e.parent_fid", "e.step")
+    return on_first_device(edges).select("fid", "parent_fid", "step")
 
 
 def climbed(edges: DataFrame) -> DataFrame:
@@ -70,25 +100,47 @@ def directory_paths(raw: DataFrame) -> DataFrame:
     return climbed(directory_edges(raw).select("fid", F.col("parent_fid").alias("up"), F.col("step").alias("path")))
 
 
+def ascents(raw: DataFrame, fids: DataFrame | None = None) -> DataFrame:
+    """(fid, linked, n, ups) of each inode, or of those in ``fids``: the n entries (parent_fid, name) by which paths lead to it; a shard has its master's."""
+    inodes = raw.where(F.col("fid").isNotNull()).select("fid", "ord", has_links(raw).alias("linked"), "links", "lmv")
+    if fids is not None:
+        inodes = settle(inodes.join(fids.select("fid").distinct(), "fid", "left_semi"))
+    slave = F.coalesce(F.col("lmv.role") == "slave", F.lit(False))
+    master = shard_parent(F.col("fid"), F.col("links"), F.col("lmv.mdt_index"))
+    ups = F.when(slave, F.array(F.struct(master.alias("parent_fid"), F.lit("").alias("name")))).otherwise(F.col("links"))
+    ups = F.coalesce(ups, F.array().cast(LINKED))
+    return on_first_device(inodes).select("fid", "linked", F.size(ups).alias("n"), ups.alias("ups"))
+
+
+def resolved(ascents: DataFrame, above: DataFrame, how: str) -> DataFrame:
+    """(fid, at, path) of each entry of ``ascents``, in their order; path is null where it doesn't lead to a directory of ``above`` (fid, path), if ``how`` keeps such rows."""
+    entries = ascents.select("fid", F.posexplode(each("ups", LINKED)).alias("at", "l")).select("fid", "at", "l.parent_fid", "l.name")
+    # the hash is what rows are sorted by: identifiers begin alike
+    met = (F.xxhash64("parent_fid") == F.xxhash64("dir")) & (F.col("parent_fid") == F.col("dir"))
+    named = F.when(F.col("name") != "", F.concat("above", F.lit("/"), "name")).when(F.col("above") != "", F.col("above")).when(F.col("above").isNotNull(), F.lit("/"))
+    return entries.join(above.toDF("dir", "above"), met, how).select("fid", "at", named.alias("path"))
+
+
 def fid2path(raw: DataFrame, fids: DataFrame | None = None) -> DataFrame:
     """(fid, paths): the paths of each inode in the order of its links; links that lead nowhere are left out, and an inode without any path has no row.
 
     A shard of a striped directory has one path, that of the directory; its own name isn't shown.
-    With ``fids`` (column fid), one row for each of them, with null where nothing resolves."""
-    base = raw.where(F.col("fid").isNotNull())
-    if fids is not None:
-        base = base.join(fids.select("fid").distinct(), "fid", "left_semi")
-    one = base.groupBy("fid").agg(F.min_by(F.struct("links", "lmv"), "ord").alias("i"))
-    slave = F.coalesce(F.col("i.lmv.role") == "slave", F.lit(False))
-    master = shard_parent(F.col("fid"), F.col("i.links"), F.col("i.lmv.mdt_index"))
-    ups = F.when(slave, F.array(F.struct(master.alias("parent_fid"), F.lit("").alias("name")))).otherwise(F.col("i.links"))
-    each = one.select("fid", F.posexplode(ups).alias("at", "l")).select("fid", "at", "l.parent_fid", "l.name")
-    named = F.when(F.col("name") != "", F.concat("above", F.lit("/"), "name")).when(F.col("above") != "", F.col("above")).otherwise("/")
-    found = each.join(directory_paths(raw).toDF("parent_fid", "above"), "parent_fid").select("fid", "at", named.alias("path"))
-    paths = found.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("p")).select("fid", F.transform("p", lambda x: x["path"]).alias("paths"))
+    With ``fids`` (column fid), one row for each of them, with null where nothing resolves. Only inodes with several links are grouped; they take a scan of their own."""
+    all_ups, above = ascents(raw, fids), directory_paths(raw)
+    single = resolved(all_ups.where("n = 1"), above, "inner").select("fid", F.array("path").alias("paths"))
+    several = resolved(all_ups.where("n > 1"), above, "inner").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("p"))
+    paths = single.unionByName(several.select("fid", F.transform("p", lambda x: x["path"]).alias("paths")))
     return paths if fids is None else fids.join(paths, "fid", "left")
 
 
+def without_path(raw: DataFrame) -> DataFrame:
+    """(fid), once each: the identifiers with links that ``fid2path`` has no row for."""
+    all_ups, above = ascents(raw).where("linked"), directory_paths(raw)
+    single = resolved(all_ups.where("n = 1"), above, "left").where("path IS NULL").select("fid")
+    several = resolved(all_ups.where("n > 1"), above, "left").groupBy("fid").agg(F.count("path").alias("found")).where("found = 0").select("fid")
+    return single.unionByName(several).unionByName(all_ups.where("n = 0").select("fid"))
+
+
 def path2fid(paths: DataFrame, dirents: DataFrame) -> DataFrame:
     """``paths`` (column path) with the fid each leads to, or null.
 

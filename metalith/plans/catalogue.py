@@ -21,9 +21,9 @@ class Relations:
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = derived.raw(spark, sf_dir)
 
-    def once(self) -> Relations:
-        """The same with the narrow part of raw written once, for queries that meet it several times; layouts and objects aren't in it."""
-        self.raw = paths.settle(self.raw.drop("comps"))
+    def once(self, *columns: str) -> Relations:
+        """The same with the narrow part of raw, or only ``columns``, written once, for queries that meet it several times; layouts and objects aren't in it."""
+        self.raw = paths.settle(self.raw.select(*columns) if columns else self.raw.drop("comps"))
         return self
 
     def table(self, name: str) -> DataFrame:
@@ -152,15 +152,17 @@ query(
 
 # Paths
 
-query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.once().raw))
+#: What paths are made from.
+UPWARD = ["device", "ord", "mode", "fid", "links", "lmv"]
+query("fid2path", "SELECT fid, list(path ORDER BY ord) AS paths FROM found GROUP BY fid", recursive=True)(lambda r: paths.fid2path(r.once(*UPWARD).raw))
 query("fid2path_multi_link", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE ord = 1) GROUP BY fid", recursive=True)(
-    lambda r: paths.fid2path(r.raw, r.raw.where((F.size("links") > 1) & F.col("fid").isNotNull()).select("fid").distinct()).where("paths IS NOT NULL")
+    lambda r: paths.fid2path(r.once(*UPWARD).raw, r.raw.where((F.size("links") > 1) & F.col("fid").isNotNull()).select("fid").distinct()).where("paths IS NOT NULL")
 )
 query("fid2path_through_shard", "SELECT fid, list(path ORDER BY ord) AS paths FROM found WHERE fid IN (SELECT fid FROM all_links WHERE parent_fid LIKE '[0x200000405:%') GROUP BY fid", recursive=True)(
-    lambda r: paths.fid2path(r.raw, r.links.where("parent_fid LIKE '[0x200000405:%'").select("fid").distinct()).where("paths IS NOT NULL")
+    lambda r: paths.fid2path(r.once(*UPWARD).raw, r.links.where("parent_fid LIKE '[0x200000405:%'").select("fid").distinct()).where("paths IS NOT NULL")
 )
 query("fid2path_unresolvable", "SELECT DISTINCT fid FROM all_links WHERE fid IS NOT NULL AND fid NOT IN (SELECT fid FROM found)", recursive=True)(
-    lambda r: r.links.select("fid").distinct().join(paths.fid2path(r.raw), "fid", "left_anti")
+    lambda r: paths.without_path(r.once(*UPWARD).raw)
 )
 query(
     "path2fid",
