@@ -79,11 +79,17 @@ def shard_name(fid: Column, index: Column) -> Column:
     return F.concat_ws(":", fid, index.cast("string"))
 
 
+#: A shard's entry name whose identifier is written as ``format_fid`` writes it.
+USUAL_SHARD_NAME = r"^\[0x(?:0|[1-9a-f][0-9a-f]{0,15})(?::0x(?:0|[1-9a-f][0-9a-f]{0,7})){2}\]:[0-9]+\z"
+
+
 def parse_shard_name(name: Column) -> Column:
-    """struct(fid, index) of a shard's entry name, else null."""
+    """struct(fid, index) of a shard's entry name, else null. Only unusual identifiers are taken apart and written anew."""
+    usual = F.struct(F.substring_index(name, ":", 3).alias("fid"), F.substring_index(name, ":", -1).try_cast("bigint").alias("index"))
     fid = F.regexp_extract(name, r"^(\[[^\]]*\]):([0-9]+)$", 1)
     index = F.regexp_extract(name, r"^(\[[^\]]*\]):([0-9]+)$", 2)
-    return _once(parse_fid(fid), lambda p: F.when(p.isNotNull(), F.struct(format_fid(p["seq"], p["oid"], p["ver"]).alias("fid"), index.try_cast("bigint").alias("index"))))
+    rest = _once(parse_fid(fid), lambda p: F.when(p.isNotNull(), F.struct(format_fid(p["seq"], p["oid"], p["ver"]).alias("fid"), index.try_cast("bigint").alias("index"))))
+    return F.when(name.rlike(USUAL_SHARD_NAME), usual).otherwise(rest)
 
 
 def mdt_index(label: Column) -> Column:

@@ -31,13 +31,28 @@ def directories(raw: DataFrame, devices=None, skip_no_fid: bool = True) -> DataF
     return dirs.where(F.coalesce(F.col("incompat"), F.lit(0)).bitwiseAND(F.lit(AGENT)) == 0)
 
 
-def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = False) -> DataFrame:
-    """``dirents`` has (parent_fid, name, device). ``skip_no_linkea`` is ignored: stripes need their links.
+#: So many sequences at most are listed to read the object index by.
+SEQUENCES = 1000
+
+
+def sequence(fid):
+    """The start of an identifier, up to its sequence."""
+    return F.substring_index(fid, ":", 1)
+
+
+def of_sequences(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``index`` that may be ``asked`` for (column fid): those whose sequence is, if there are few. Filters reach the scan; a join would deal out the whole index."""
+    found = [r["s"] for r in asked.select(sequence(F.col("fid")).alias("s")).where("s IS NOT NULL").distinct().limit(SEQUENCES + 1).collect()]
+    return index if len(found) > SEQUENCES else index.where(sequence(F.col("fid")).isin(found)) if found else index.limit(0)
+
+
+def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: bool = True, skip_no_linkea: bool = False, narrow: bool = False) -> DataFrame:
+    """``dirents`` has (parent_fid, name, device); only names of shards matter. ``skip_no_linkea`` is ignored: stripes need their links.
 
     One scan of the directories; shards meet the object index by one join on their identifier,
-    slaves by an anti join on their master's."""
+    slaves by an anti join on their master's. ``narrow`` reads directories and entries once more, at once, for the
+    sequences that shards and masters have, and then only these of the index: worth it where directories are few among all inodes."""
     dirs = directories(raw, devices, skip_no_fid).select("fid", "device", F.coalesce("incompat", F.lit(0)).cast("bigint").alias("incompat"), "lmv", "links")
-    first = oi(on_devices(raw, devices)).groupBy("fid").agg(F.min_by("device", "ord").alias("at"))
     role = F.coalesce(F.col("lmv.role"), F.lit("plain"))
     zero = F.lit(0).cast("bigint")
     own = dirs.where(role != "slave").select(
@@ -54,7 +69,12 @@ def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: boo
         F.col("incompat").alias("lma_incompat"),
     )
     masters = dirs.where(role == "master")
+    slaves = dirs.where(role == "slave").withColumn("master", shard_parent(F.col("fid"), F.col("links"), F.col("lmv.mdt_index"))).where(F.col("master").isNotNull())
     shards = dirents.where(F.col("name").startswith("[")).select(F.col("parent_fid").alias("fid"), F.col("device"), parse_shard_name(F.col("name")).alias("s")).where(F.col("s").isNotNull())
+    index = oi(on_devices(raw, devices))
+    if narrow:
+        index = of_sequences(index, shards.select("s.fid").unionByName(slaves.select(F.col("master").alias("fid"))))
+    first = index.groupBy("fid").agg(F.min_by("device", "ord").alias("at"))
     shards = (
         masters.join(shards, ["fid", "device"])
         .where(F.col("s.index") < F.col("lmv.stripe_count"))
@@ -73,8 +93,7 @@ def dirstripe(raw: DataFrame, dirents: DataFrame, devices=None, skip_no_fid: boo
             F.col("incompat").alias("lma_incompat"),
         )
     )
-    slaves = dirs.where(role == "slave").withColumn("master", shard_parent(F.col("fid"), F.col("links"), F.col("lmv.mdt_index"))).where(F.col("master").isNotNull())
-    slaves = slaves.join(first.select(F.col("fid").alias("master")), "master", "left_anti").select(
+    slaves = slaves.join(index.select(F.col("fid").alias("master")), "master", "left_anti").select(
         F.col("master").alias("dir_fid"),
         F.col("fid").alias("parent_fid"),
         F.lit("").alias("dir_device"),

@@ -51,7 +51,7 @@ class Relations:
 
     @property
     def dirstripe(self) -> DataFrame:
-        return stripes.dirstripe(self.raw, self.dirents)
+        return stripes.dirstripe(self.raw, derived.shard_entries(self.spark, self.sf_dir), narrow=True)
 
 
 def query(name: str, sql: str, recursive: bool = False, plain: bool = False):
@@ -125,16 +125,16 @@ query("join_object_layout", "SELECT o.fid, o.comp_index, o.ost_idx, y.pool FROM
     lambda r: fused.object_layouts(r.objects, r.layouts).select("fid", "comp_index", "ost_idx", "pool")
 )
 query("join_link_dirstripe", "SELECT l.fid, l.name, d.dir_fid, d.stripe_index FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid")(
-    lambda r: fused.link_dirstripe(r.once().links, r.dirstripe).select("fid", "name", "dir_fid", "stripe_index")
+    lambda r: fused.link_dirstripe(r.links, r.dirstripe).select("fid", "name", "dir_fid", "stripe_index")
 )
 query("join_inode_dirstripe", "SELECT i.fid, i.uid, d.parent_fid, d.source FROM inodes i JOIN dirstripe d ON i.fid = d.dir_fid")(
-    lambda r: fused.inode_dirstripe(r.once().inodes, r.dirstripe).select("fid", "uid", "parent_fid", "source")
+    lambda r: fused.inode_dirstripe(r.inodes, r.dirstripe).select("fid", "uid", "parent_fid", "source")
 )
 query("join_link_dirstripe_inode", "SELECT l.fid, l.name, d.dir_fid, i.uid AS dir_uid, i.size AS dir_size FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid JOIN inodes i ON i.fid = d.dir_fid")(
-    lambda r: fused.link_inode_dirstripe(r.once().links, r.dirstripe, r.inodes).select("fid", "name", "dir_fid", "dir_uid", "dir_size")
+    lambda r: fused.link_inode_dirstripe(r.links, r.dirstripe, r.inodes).select("fid", "name", "dir_fid", "dir_uid", "dir_size")
 )
 query("logical_dir_entry_count", "SELECT d.dir_fid, count(*) AS entry_count FROM links l JOIN dirstripe d ON l.parent_fid = d.parent_fid JOIN inodes i ON i.fid = d.dir_fid WHERE i.type = 'dir' GROUP BY d.dir_fid")(
-    lambda r: fused.entry_counts(r.once().links, r.dirstripe, r.inodes).select("dir_fid", F.col("entry_count").cast("bigint").alias("entry_count"))
+    lambda r: fused.entry_counts(r.links, r.dirstripe, r.inodes).select("dir_fid", F.col("entry_count").cast("bigint").alias("entry_count"))
 )
 
 # Directory stripes

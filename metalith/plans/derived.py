@@ -107,9 +107,14 @@ def dirents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
     from metalith.operators import relations
 
     links = relations.links(raw(spark, sf_dir) if rows is None else rows).select("parent_fid", "name", "fid", "device").where("name NOT LIKE '[%'")
+    return links.unionByName(shard_entries(spark, sf_dir))
+
+
+def shard_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of ``dirents`` whose names begin with a bracket."""
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("i"))
     shard = SHARD.format("o_orderkey * 4 + i")
-    return links.unionByName(orders.selectExpr(f"{DIR.format('o_orderkey + 1')} AS parent_fid", f"{shard} || ':' || i AS name", f"{shard} AS fid", "'mdt' || o_orderkey % 4 AS device"))
+    return orders.selectExpr(f"{DIR.format('o_orderkey + 1')} AS parent_fid", f"{shard} || ':' || i AS name", f"{shard} AS fid", "'mdt' || o_orderkey % 4 AS device")
 
 
 #: The same relations in the other engine's SQL, as common table expressions.
