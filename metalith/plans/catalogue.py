@@ -65,6 +65,13 @@ def query(name: str, sql: str, recursive: bool = False, plain: bool = False):
     return register
 
 
+def objects_of(r: Relations, chosen: DataFrame) -> DataFrame:
+    """(fid, ost_idx, comp_index) of the objects of ``chosen`` (fid). It is written first: then its size is known, and where it is small,
+    inodes are filtered by it before their components are made, let alone dealt out."""
+    chosen = paths.settle(chosen)
+    return relations.objects(r.raw.join(chosen, "fid", "left_semi")).select("fid", "ost_idx", "comp_index").join(chosen, "fid")
+
+
 # Scans
 
 query("scan_inodes", "SELECT * FROM inodes")(lambda r: r.inodes)
@@ -107,7 +114,7 @@ query("fid_in_lookup", "SELECT * FROM links WHERE fid IN ('[0x200000403:0x10:0x0
 query("parent_fid_lookup", "SELECT * FROM links WHERE parent_fid = '[0x200000402:0x5:0x0]'")(lambda r: r.links.where(F.col("parent_fid") == "[0x200000402:0x5:0x0]"))
 query("name_prefix", "SELECT * FROM links WHERE name LIKE 'O12%' AND name >= 'O121' AND name <= 'O125'")(lambda r: r.links.where(F.col("name").startswith("O12") & F.col("name").between("O121", "O125")))
 query("bloom_runtime_filter", "SELECT o.fid, o.ost_idx, o.comp_index FROM objects o JOIN inodes i ON i.fid = o.fid WHERE i.uid = 11 AND i.type = 'file'")(
-    lambda r: r.objects.select("fid", "ost_idx", "comp_index").join(r.inodes.where("uid = 11 AND type = 'file'").select("fid"), "fid")
+    lambda r: objects_of(r, r.inodes.where("uid = 11 AND type = 'file'").select("fid"))
 )
 
 # Joins
