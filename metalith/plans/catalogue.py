@@ -177,7 +177,7 @@ query(
     recursive=False,
 )(
     lambda r: paths.path2fid(
-        r.table("orders").where("o_orderkey % 100 <> 55").join(r.table("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("'/' || c_name || '/O' || o_orderkey AS path"), r.dirents
+        paths.settle(r.table("orders").where("o_orderkey % 100 <> 55").join(r.table("customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("'/' || c_name || '/O' || o_orderkey AS path")), r.dirents
     )
 )
 query("path2fid_root_and_miss", "SELECT * FROM (VALUES ('/', '[0x200000007:0x1:0x0]'), ('', '[0x200000007:0x1:0x0]'), ('/none/at/all', NULL), (NULL, NULL)) t(path, fid)")(

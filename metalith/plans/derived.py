@@ -32,6 +32,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = f"CASE WHEN l_orderkey % 10 = 0 THEN {SHARD.format('l_orderkey * 4 + l_partkey % 4')} ELSE {DIR.format('l_orderkey + 1')} END"
     first = f"named_struct('parent_fid', {parent}, 'name', 'L' || l_linenumber || '_' || l_partkey || '_' || l_suppkey)"
     second = f"named_struct('parent_fid', {OUTSIDE.format('l_suppkey + 1')}, 'name', 'H' || l_orderkey || '_' || l_partkey)"
+    # told apart from the text, which never is empty, so that a filter on fid doesn't make it
+    identified = "l_partkey % 97 <> 0 AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_suppkey IS NOT NULL"
     # slices of all that there may be: unlike a lambda, this is compiled; made only where needed, it would pass the 8000 bytes up to which the JVM compiles a method
     def objects(i: int) -> str:
         each = ", ".join(f"named_struct('ost_idx', {(i * 7 + s) % 16}L, 'ost_oi_id', CAST(l_orderkey * 64 + {i * 8 + s} AS DECIMAL(20,0)), 'ost_oi_seq', CAST(0 AS DECIMAL(20,0)))" for s in range(4))
@@ -61,7 +63,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_shipdate AS ctime",
         "l_partkey AS projid",
         "CASE WHEN l_returnflag = 'R' THEN 16L ELSE 0L END AS flags",
-        f"CASE WHEN l_partkey % 97 <> 0 THEN '[0x' || lower(hex({SEQ_BASE} + l_orderkey)) || ':0x' || lower(hex(l_partkey * 8 + l_linenumber)) || ':0x' || lower(hex(l_suppkey)) || ']' END AS fid",
+        f"CASE WHEN {identified} THEN coalesce(lower('[0x' || hex({SEQ_BASE} + l_orderkey) || ':0x' || hex(l_partkey * 8 + l_linenumber) || ':0x' || hex(l_suppkey) || ']'), '') END AS fid",
         "0L AS incompat",
         f"CASE WHEN l_partkey % 89 = 0 THEN CAST(NULL AS ARRAY<{LINK}>) WHEN l_linenumber = 1 THEN array({first}, {second}) ELSE array({first}) END AS links",
         f"CAST(slice(array({', '.join(component(i) for i in range(3))}), 1, CAST(l_partkey % 3 + 1 AS INT)) AS ARRAY<{COMPONENT}>) AS comps",
